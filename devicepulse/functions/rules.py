@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicepulse import schema as S
+from devicepulse.session import local_table
 
 
 def known(c: Column) -> Column:
@@ -77,6 +78,5 @@ def band_details(df: DataFrame, risk: str = "risk") -> DataFrame:
 
     The dimension has exactly three rows, hence the broadcast.
     """
-    dim = df.sparkSession.createDataFrame(S.BANDS, S.BANDS_SCHEMA)
-    dim = dim.withColumnRenamed("risk", risk)
+    dim = local_table(df.sparkSession, S.BANDS, S.BANDS_SCHEMA).withColumnRenamed("risk", risk)
     return df.join(F.broadcast(dim), risk, "left")

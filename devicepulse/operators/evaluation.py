@@ -43,7 +43,7 @@ def _metrics() -> list[Column]:
 
 def confusion(df: DataFrame, label: str, pred: str, by: list[str] = ()) -> DataFrame:
     """Counts ``tp``, ``fp``, ``fn`` and ``tn`` of class 1."""
-    return df.where(F.col(label).isNotNull()).groupBy(*by).agg(*_cell_counts(label, pred))
+    return df.groupBy(*by).agg(*_cell_counts(label, pred))
 
 
 def binary_metrics(df: DataFrame, label: str, pred: str, by: list[str] = ()) -> DataFrame:
@@ -59,32 +59,28 @@ def _area() -> Column:
     return F.try_divide(F.sum(won), pairs)
 
 
+def _ranked(df: DataFrame, by: list[str], label: str, score: str, *extra: Column) -> DataFrame:
+    """Positives and negatives per distinct score, with running totals. A NULL
+    score counts as neither."""
+    scored = F.col(score).isNotNull()
+    counts = df.groupBy(*by, score).agg(
+        F.count_if(scored & (F.col(label) == 1)).alias("pos"),
+        F.count_if(scored & (F.col(label) != 1)).alias("neg"),
+        *extra,
+    )
+    return running_totals(counts, by, score, ["pos", "neg"])
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """Exact area under the ROC curve, from the scores rather than the classes."""
-    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    counts = rows.groupBy(*by, score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
-    )
-    ranked = running_totals(counts, list(by), score, ["pos", "neg"])
+    ranked = _ranked(df, list(by), label, score)
     return ranked.groupBy(*by).agg(_area().alias("roc_auc"))
 
 
 def leaderboard(df: DataFrame, model: str, label: str, pred: str, score: str) -> DataFrame:
     """One row per model with accuracy, precision, recall, F1 and ROC-AUC, from one
     pass over the predictions. Rows without a score do not enter the ROC-AUC."""
-    scored = F.col(score).isNotNull()
-    counts = (
-        df.where(F.col(label).isNotNull())
-        .groupBy(model, score)
-        .agg(*_cell_counts(label, pred))
-        .withColumns(
-            {
-                "pos": F.when(scored, F.col("tp") + F.col("fn")).otherwise(0),
-                "neg": F.when(scored, F.col("fp") + F.col("tn")).otherwise(0),
-            }
-        )
-    )
-    ranked = running_totals(counts, [model], score, ["pos", "neg"])
+    ranked = _ranked(df, [model], label, score, *_cell_counts(label, pred))
     totals = ranked.groupBy(model).agg(
         *[F.sum(c).alias(c) for c in CELLS], _area().alias("roc_auc")
     )

@@ -60,8 +60,8 @@ def missing_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Rows per value, most frequent first and ties by value; NULL is not counted."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), col)
+    counts = df.groupBy(col).agg(F.count(col).alias("n"))
+    return counts.where("n > 0").orderBy(F.desc("n"), col)
 
 
 def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
@@ -102,27 +102,54 @@ def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> Dat
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, in long form (x, y, corr).
 
-    Each pair uses the rows where both are present. The correlation with a
-    constant column is NULL. One pass, half of the matrix, mirrored at the end.
+    Each pair uses the rows where both are present. The correlation with a column
+    that is constant there is NULL.
+
+    A first pass finds the mean of each column and whether it has gaps. The second
+    sums products of centred values: the sums of a column without gaps are shared
+    by all its pairs, and only half of the matrix is computed.
     """
     numbers = df.select(*[known(F.col(c)).alias(c) for c in cols])
-    cells = []
-    for i, x in enumerate(cols):
-        for y in cols[i:]:
-            spread = F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y))
-            corr = F.try_divide(F.regr_sxy(x, y), spread)
-            cells.append(
-                F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), corr.alias("corr"))
-            )
-    half = numbers.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    first = numbers.agg(
+        F.count("*").alias("n"),
+        *[
+            F.struct(F.count(c), F.avg(c), F.min(c) == F.max(c)).alias(c)
+            for c in cols
+        ],
+    ).first()
+    gaps = {c for c in cols if first[c][0] < first["n"]}
+    flat = {c for c in cols if first[c][1] is None or first[c][2]}
+    centred = numbers.select(*[(F.col(c) - F.lit(first[c][1] or 0.0)).alias(c) for c in cols])
+
+    def paired(c, other):
+        """The values of ``c`` in the rows of the pair."""
+        return F.when(F.col(other).isNotNull(), F.col(c)) if other in gaps else F.col(c)
+
+    def correlation(x, y):
+        if x in flat or y in flat:
+            return F.lit(None).cast("double")
+        a, b = paired(x, y), paired(y, x)
+        n, sum_a, sum_b = F.count(a * b), F.sum(a), F.sum(b)
+        spread_a = n * F.sum(a * a) - sum_a * sum_a
+        spread_b = n * F.sum(b * b) - sum_b * sum_b
+        corr = F.try_divide(n * F.sum(a * b) - sum_a * sum_b, F.sqrt(spread_a * spread_b))
+        if x in gaps or y in gaps:
+            # Constant within the pair, though not within the column.
+            return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), corr)
+        return corr
+
+    cells = [
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), correlation(x, y).alias("corr"))
+        for i, x in enumerate(cols)
+        for y in cols[i:]
+    ]
+    half = centred.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
     both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     pairs = half.select(F.explode(F.array_distinct(both)).alias("pair"), "corr")
     return pairs.select("pair.x", "pair.y", "corr")
 
 
-def box_fences(
-    ranked: DataFrame, keys: list[str], k: float
-) -> DataFrame:
+def box_fences(ranked: DataFrame, keys: list[str], k: float) -> DataFrame:
     """Quartiles and fences of what ``ranked_values`` returns."""
     spread = F.col("q75") - F.col("q25")
     found = quantiles(ranked, keys, QUARTILES)
@@ -143,7 +170,7 @@ def box_stats(df: DataFrame, group: str, cols: list[str], k: float = 1.5) -> Dat
     all else comes from their distinct values.
     """
     keys = [group, "column"]
-    ranked = ranked_values(df.where(F.col(group).isNotNull()), cols, [group])
+    ranked = ranked_values(df, cols, [group]).where(F.col(group).isNotNull())
     fences = bounded(box_fences(ranked, keys, k))
     value = F.col("value")
     inside = value.between(F.col("low_fence"), F.col("high_fence"))
@@ -165,9 +192,8 @@ def box_stats(df: DataFrame, group: str, cols: list[str], k: float = 1.5) -> Dat
 
 def box_outliers(df: DataFrame, group: str, col: str, k: float = 1.5) -> DataFrame:
     """The rows of ``df`` outside the fences of their group, with the fences."""
-    rows = df.where(F.col(group).isNotNull())
-    ranked = ranked_values(rows, [col], [group])
+    ranked = ranked_values(df, [col], [group]).where(F.col(group).isNotNull())
     fences = bounded(box_fences(ranked, [group], k).drop(*QUARTILES))
     value = known(F.col(col))
     outside = (value < F.col("low_fence")) | (value > F.col("high_fence"))
-    return match(rows, fences, [group]).where(outside)
+    return match(df, fences, [group], "inner").where(outside)

@@ -84,7 +84,7 @@ def split_counts(df: DataFrame, key: str | list[str], label: str, **options) ->
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight rows / (classes * rows of the class), one row per class."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    counts = df.groupBy(label).agg(F.count(label).alias("n")).where("n > 0")
     # An unpartitioned window over one row per class.
     everything = Window.partitionBy()
     weight = F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n"))

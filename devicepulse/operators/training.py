@@ -19,7 +19,7 @@ from devicepulse import schema as S
 from devicepulse.operators.evaluation import best_model_name, leaderboard
 from devicepulse.operators.features import fit_features
 from devicepulse.operators.split import balanced_weights
-from devicepulse.session import ensure_checkpoint_dir
+from devicepulse.session import bounded, ensure_checkpoint_dir
 
 WEIGHT = "class_weight"
 # Hyperparameters of the full preset; ``small`` is for quick runs.
@@ -86,12 +86,12 @@ def train_candidates(
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     features = fit_features(train)
-    prepared = balanced_weights(
-        features.transform(train).select("features", label), label, WEIGHT
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    holdout = (
-        features.transform(test).select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # Training passes over these rows many times: spread them evenly, once.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prepared = balanced_weights(features.transform(train).select("features", label), label, WEIGHT)
+    prepared = prepared.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    holdout = features.transform(test).select("features", label)
+    holdout = holdout.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if estimators is None:
             estimators = candidates(prepared.count(), preset, label)
@@ -104,8 +104,8 @@ def train_candidates(
         ]
         predictions = functools.reduce(DataFrame.unionByName, scored)
         board = leaderboard(predictions, "model", label, "prediction", "probability")
-        # One row per candidate: keep it, so that releasing the cache costs nothing.
-        board = spark.createDataFrame(board.collect(), board.schema)
+        # One row per candidate: take it before the cache is released.
+        board = bounded(board)
     finally:
         prepared.unpersist()
         holdout.unpersist()

@@ -11,47 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from devicepulse.functions.rules import risk_score, threshold_label
-from devicepulse.functions.text import device_id
+
+EVENT = ["event_id", "user_id", "ts"]
+HASHES = {letter: f"md5(concat('{letter}', CAST(event_id AS STRING)))" for letter in "ab"}
+# Ten 16-bit words of the two hashes. A filter on a reading would be pushed below a
+# plain projection and hash each event again for every column it names; it is not
+# pushed below a generated row.
+WORDS = [
+    f"CAST(conv(substr(h{letter}, {1 + 4 * j}, 4), 16, 10) AS BIGINT)"
+    for letter, j in [("a", j) for j in range(8)] + [("b", 0), ("b", 1)]
+]
+WORD_ROW = ", ".join(f"'u{i}', {word}" for i, word in enumerate(WORDS))
+ID_DIGITS = "CAST(user_id + 1 AS STRING)"
+DRAWN = [
+    "event_id AS Reading_ID",
+    f"concat('DEV-', lpad({ID_DIGITS}, greatest(length({ID_DIGITS}), 5), '0')) AS Device_ID",
+    "ts AS Reading_TS",
+    "CASE WHEN u0 % 2 = 0 THEN 'Router' ELSE 'Switch' END AS Device_Type",
+    "CAST(1000 + u1 % 9001 AS DOUBLE) / 100 AS CPU_Usage",
+    "CAST(2000 + u2 % 8001 AS DOUBLE) / 100 AS Memory_Usage",
+    "CAST(2500 + u3 % 6501 AS DOUBLE) / 100 AS Temperature",
+    "CAST(100 + (u4 * 2) % 99901 AS DOUBLE) / 100 AS Uptime",
+    "CAST(CASE WHEN u5 < 62000 THEN 10 + u5 % 21 ELSE 80 + u5 % 300 END AS INT) "
+    "AS Interface_Errors",
+    "CAST(u6 % 1001 AS DOUBLE) / 100 AS Packet_Loss",
+    "CAST(1000 + u7 % 9001 AS DOUBLE) / 100 AS Bandwidth_Usage",
+    "CAST(CASE WHEN u8 < 62000 THEN u8 % 11 ELSE 12 + u8 % 17 END AS INT) AS Log_Errors",
+    "(CAST(u9 AS DOUBLE) / 65535 - 0.5D) * 0.1732D AS _noise",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _words(prefix: str) -> list:
-    """The eight 16-bit groups of the hash of an event."""
-    digest = F.md5(F.concat(F.lit(prefix), F.col("event_id").cast("string")))
-    return [F.conv(F.substring(digest, 1 + 4 * j, 4), 16, 10).cast("bigint") for j in range(8)]
-
-
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry with ``Reading_ID``, ``Reading_TS`` and the noise-free ``Risk_Score``."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    u = _words("a") + _words("b")[:2]
-
-    def hundredths(low, word, span):
-        return (F.lit(low) + word % span).cast("double") / 100
-
-    def counter(word, usual, rare):
-        return F.when(word < 62000, usual).otherwise(rare).cast("int")
-
-    noise = (u[9].cast("double") / 65535 - F.lit(0.5)) * F.lit(0.1732)
-    drawn = events.select(
-        F.col("event_id").alias("Reading_ID"),
-        device_id(F.col("user_id") + 1).alias("Device_ID"),
-        F.col("ts").alias("Reading_TS"),
-        F.when(u[0] % 2 == 0, "Router").otherwise("Switch").alias("Device_Type"),
-        hundredths(1000, u[1], 9001).alias("CPU_Usage"),
-        hundredths(2000, u[2], 8001).alias("Memory_Usage"),
-        hundredths(2500, u[3], 6501).alias("Temperature"),
-        hundredths(100, u[4] * 2, 99901).alias("Uptime"),
-        counter(u[5], 10 + u[5] % 21, 80 + u[5] % 300).alias("Interface_Errors"),
-        hundredths(0, u[6], 1001).alias("Packet_Loss"),
-        hundredths(1000, u[7], 9001).alias("Bandwidth_Usage"),
-        counter(u[8], u[8] % 11, 12 + u[8] % 17).alias("Log_Errors"),
-        noise.alias("_noise"),
+    hashed = table(spark, sf_dir, "events").selectExpr(
+        *EVENT, *[f"{hash_} AS h{letter}" for letter, hash_ in HASHES.items()]
     )
-    scored = drawn.withColumn("Risk_Score", risk_score())
+    words = hashed.selectExpr(*EVENT, f"inline(array(named_struct({WORD_ROW})))")
+    scored = words.selectExpr(*DRAWN).withColumn("Risk_Score", risk_score())
     failed = threshold_label(F.col("Risk_Score") + F.col("_noise"))
     return scored.withColumn("Failed", failed).drop("_noise")
 

@@ -45,7 +45,12 @@ FAILURE_THRESHOLD = 0.65
 # Probability bands and the colour shown for each.
 LOW_BELOW = 0.30
 HIGH_FROM = 0.70
-BANDS_SCHEMA = "risk string, risk_color string, status_text string, action_text string"
+BANDS_SCHEMA = T.StructType(
+    [
+        T.StructField(c, T.StringType())
+        for c in ("risk", "risk_color", "status_text", "action_text")
+    ]
+)
 BANDS = [
     (
         "LOW",

@@ -6,13 +6,19 @@ import functools
 import operator
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def build_session(
     app: str = "devicepulse", master: str | None = None, **conf: str
 ) -> SparkSession:
-    """A session with adaptive execution and UTC timestamps; ``conf`` overrides."""
+    """A session with adaptive execution and UTC timestamps; ``conf`` overrides.
+
+    Merging sessions before the shuffle keeps a key with very many events from
+    sending them all to one task of a debounced stream.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -20,6 +26,8 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,
     }
     for name, value in settings.items():
@@ -58,12 +66,19 @@ def bounded(df: DataFrame, limit: int = 10_000) -> DataFrame:
     Spark broadcasts it without a hint and does not shuffle the other side; a
     side over the limit takes an ordinary shuffled join.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few literal rows as a local relation (which plain rows do not become)."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    table = pa.table({f.name: list(c) for f, c in zip(schema, columns)})
+    return spark.createDataFrame(table, schema)
+
+
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on ``keys`` with NULL equal to NULL, keeping the keys of ``left`` once."""
     if not keys:

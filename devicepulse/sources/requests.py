@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import operator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devicepulse import schema as S
@@ -12,8 +15,9 @@ from devicepulse.functions.text import normalize_type
 NO_MODEL = "None (Model not trained)"
 
 
-def _field(parsed: Column, name: str) -> Column:
-    return F.try_variant_get(parsed, f"$.{name}", "variant")
+# Each field is read as a variant, which tells an absent key, a null, a number and
+# a text apart; text that is not an object ends up in the last field.
+PARSED = ", ".join(f"{c} variant" for c in S.FEATURES) + ", _malformed string"
 
 
 def decode_requests(df: DataFrame, col: str = "request") -> DataFrame:
@@ -22,37 +26,37 @@ def decode_requests(df: DataFrame, col: str = "request") -> DataFrame:
     A missing key takes its default, while an explicit null or a value of the
     wrong type is a reason. Numbers and numeric text are both read; a counter
     truncates a number such as 3.7 but not the text "3.7". Any text is accepted as
-    a device type. Objects with a key given twice count as malformed, and so does
-    anything that is not an object. Empty ``reasons`` mean the row can be scored.
+    a device type. Text that is not a JSON object is malformed. Empty ``reasons``
+    mean the row can be scored.
     """
-    parsed = F.col("_parsed")
-    out = df.withColumn("_parsed", F.try_parse_json(F.col(col)))
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT<"), F.lit(False))
-    is_empty = F.coalesce(F.schema_of_variant(parsed) == "OBJECT<>", F.lit(False))
-    usable = is_object & ~is_empty
-    features = {}
-    bad = [
-        F.when(~is_object, F.lit("malformed_json")),
-        F.when(is_empty, F.lit("empty_request")),
-    ]
-    for name in S.FEATURES:
-        given = _field(parsed, name)
+    fields = F.from_json(F.col(col), PARSED, {"columnNameOfCorruptRecord": "_malformed"})
+    out = df.withColumn("_parsed", fields)
+    given = {c: F.col(f"_parsed.{c}") for c in S.FEATURES}
+    malformed = F.col("_parsed").isNull() | F.col("_parsed._malformed").isNotNull()
+    nothing_known = functools.reduce(operator.and_, [g.isNull() for g in given.values()])
+    no_keys = F.size(F.json_object_keys(F.col(col))) == 0
+    out = out.withColumn(
+        "_fault",
+        F.when(malformed, F.lit("malformed_json")).when(
+            nothing_known & no_keys, F.lit("empty_request")
+        ),
+    )
+    usable = F.col("_fault").isNull()
+    features, bad = {}, [F.col("_fault")]
+    for name, value in given.items():
         default = F.lit(S.REQUEST_DEFAULTS[name])
         if name in S.CATEGORICAL_FEATURES:
-            text = F.when(given.isNull(), default).otherwise(
-                F.try_variant_get(parsed, f"$.{name}", "string")
-            )
-            features[name] = F.when(usable, normalize_type(text))
-            continue
-        kind = "int" if name in S.COUNTERS else "double"
-        value = F.try_variant_get(parsed, f"$.{name}", kind)
-        if kind == "double":
-            value = known(value)
-        features[name] = F.when(usable, F.when(given.isNull(), default.cast(kind)).otherwise(value))
-        bad.append(
-            F.when(usable & given.isNotNull() & value.isNull(), F.lit(f"not_a_number:{name}"))
-        )
-    return out.withColumns({**features, "reasons": F.array_compact(F.array(*bad))}).drop("_parsed")
+            text = F.try_variant_get(value, "$", "string")
+            filled = normalize_type(F.when(value.isNull(), default).otherwise(text))
+        else:
+            kind = "int" if name in S.COUNTERS else "double"
+            number = F.try_variant_get(value, "$", kind)
+            number = known(number) if kind == "double" else number
+            filled = F.when(value.isNull(), default.cast(kind)).otherwise(number)
+            bad.append(F.when(usable & F.col(name).isNull(), F.lit(f"not_a_number:{name}")))
+        features[name] = F.when(usable, filled)
+    reasons = F.array_compact(F.array(*bad))
+    return out.withColumns(features).withColumn("reasons", reasons).drop("_parsed", "_fault")
 
 
 def encode_responses(df: DataFrame, reasons: str | None = None) -> DataFrame:

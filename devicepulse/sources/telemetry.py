@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from devicepulse import schema as S
+from devicepulse.session import local_table
 from devicepulse.sources.errors import DatasetNotFound
 
 # Cell texts that stand for a missing value.
@@ -91,11 +92,11 @@ def write_telemetry(
 
 def scenarios(spark: SparkSession) -> DataFrame:
     """The built-in what-if devices, one row each."""
-    return spark.createDataFrame(S.SCENARIO_ROWS, S.SCENARIOS_SCHEMA)
+    return local_table(spark, S.SCENARIO_ROWS, S.SCENARIOS_SCHEMA)
 
 
 def device_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Devices from literals; a field left out takes its form default."""
     fields = T.StructType([S.TELEMETRY[c] for c in S.FEATURES])
     values = [tuple((S.FORM_DEFAULTS | row)[c] for c in S.FEATURES) for row in rows]
-    return spark.createDataFrame(values, fields)
+    return local_table(spark, values, fields)

@@ -37,7 +37,8 @@ def _stream(df, key, ts, micros, tiebreak, watermark):
     order = F.struct(ts, tiebreak) if tiebreak else F.col(ts)
     last = F.max_by(F.struct(*df.columns), order)
     sessions = timed.groupBy(key, F.session_window(ts, f"{micros} microseconds"))
-    return sessions.agg(last.alias("last")).select("last.*")
+    kept = sessions.agg(last.alias("last")).select("last.*")
+    return kept.withColumn(ts, F.col(ts).cast(df.schema[ts].dataType))
 
 
 def _batch(df, key, ts, micros, tiebreak):
