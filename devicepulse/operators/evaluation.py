@@ -154,7 +154,8 @@ def best_model(board: DataFrame, metric: str = "f1", order: list[str] = ()) -> D
     place = F.lit(len(order))
     for i, name in reversed(list(enumerate(order))):
         place = F.when(F.col("model") == name, F.lit(i)).otherwise(place)
-    return board.where(F.col(metric) > 0).orderBy(F.desc(metric), place, "model").limit(1)
+    placed = board.where(F.col(metric) > 0).withColumn("_place", place)
+    return placed.orderBy(F.desc(metric), "_place", "model").limit(1).drop("_place")
 
 
 def best_model_name(board: DataFrame, metric: str = "f1", order: list[str] = ()) -> str:
