@@ -59,10 +59,10 @@ def advisories(
     """Ordered array of the texts (keys, if ``texts`` is None) of the rules that
     fire, or the one fallback when none does."""
     say = (lambda key: F.lit(texts[key])) if texts else F.lit
-    fired = F.array_compact(
-        F.array(*[F.when(fires(column, limit), say(key)) for key, column, limit in rules])
-    )
-    return F.when(F.size(fired) == 0, F.array(say(S.NO_ADVISORY))).otherwise(fired)
+    hits = [(key, fires(column, limit)) for key, column, limit in rules]
+    any_hit = functools.reduce(operator.or_, [hit for _, hit in hits])
+    found = [F.when(hit, say(key)) for key, hit in hits]
+    return F.array_compact(F.array(*found, F.when(~any_hit, say(S.NO_ADVISORY))))
 
 
 def round_measurements(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicepulse.operators.ranks import running_totals
+from devicepulse.session import bounded
 from devicepulse.sources.errors import NoModelChosen
 
 CELLS = ["tp", "fp", "fn", "tn"]
@@ -90,12 +91,11 @@ def leaderboard(df: DataFrame, model: str, label: str, pred: str, score: str) ->
 def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Precision, recall, F1 and support per class, followed by the accuracy (in
     ``f1``, with no precision or recall) and the macro and weighted averages."""
-    pairs = (
-        df.where(F.col(label).isNotNull())
-        .groupBy(F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("z"))
-        .agg(F.count("*").alias("n"))
-    )
-    # From here on one row per (label, prediction) pair.
+    counts = df.groupBy(
+        F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("z")
+    ).agg(F.count(label).alias("n"))
+    # From here on one row per (label, prediction) pair, used for two results.
+    pairs = bounded(counts).where("n > 0")
     sides = F.array(
         F.struct(F.col("y").alias("class"), F.lit(1).alias("real"), F.lit(0).alias("said")),
         F.struct(F.col("z").alias("class"), F.lit(0).alias("real"), F.lit(1).alias("said")),

@@ -129,14 +129,16 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         if x in flat or y in flat:
             return F.lit(None).cast("double")
         a, b = paired(x, y), paired(y, x)
-        n, sum_a, sum_b = F.count(a * b), F.sum(a), F.sum(b)
+        whole = x not in gaps and y not in gaps
+        n = F.count("*") if whole else F.count(a * b)
+        sum_a, sum_b = F.sum(a), F.sum(b)
         spread_a = n * F.sum(a * a) - sum_a * sum_a
         spread_b = n * F.sum(b * b) - sum_b * sum_b
         corr = F.try_divide(n * F.sum(a * b) - sum_a * sum_b, F.sqrt(spread_a * spread_b))
-        if x in gaps or y in gaps:
-            # Constant within the pair, though not within the column.
-            return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), corr)
-        return corr
+        if whole:
+            return corr
+        # A column may be constant within the pair, though not on its own.
+        return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), corr)
 
     cells = [
         F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), correlation(x, y).alias("corr"))

@@ -27,7 +27,7 @@ WEIGHT = "class_weight"
 PRESETS = {
     "full": {
         "logistic": {"maxIter": 1000},
-        "forest": {"numTrees": 200, "maxDepth": 30},
+        "forest": {"numTrees": 200, "maxDepth": 30, "maxMemoryInMB": 1024},
         "boosted": {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05},
     },
     "small": {

@@ -16,8 +16,10 @@ def build_session(
 ) -> SparkSession:
     """A session with adaptive execution and UTC timestamps; ``conf`` overrides.
 
-    Merging sessions before the shuffle keeps a key with very many events from
-    sending them all to one task of a debounced stream.
+    Checkpoint files are removed once nothing refers to them. Generated methods
+    over 8000 bytes, which the JVM would only interpret, are left to smaller ones.
+    Sessions are merged before the shuffle, so that a key with very many events
+    does not send them all to one task of a debounced stream.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -26,6 +28,7 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,
