@@ -69,7 +69,7 @@ def _ranked(df: DataFrame, by: list[str], label: str, score: str, *extra: Column
         F.count_if(scored & (F.col(label) != 1)).alias("neg"),
         *extra,
     )
-    return running_totals(counts, by, score, ["pos", "neg"])
+    return running_totals(counts, by, [score], ["pos", "neg"])
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from devicepulse.functions.rules import known
-from devicepulse.operators.ranks import quantiles, ranked_values
+from devicepulse.operators.ranks import melt, quantiles, sketch
 from devicepulse.session import bounded, match
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
@@ -67,35 +67,33 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum per column.
 
-    Quartiles are exact, with linear interpolation, and cost a shuffle of the
-    distinct values. With ``accuracy`` they are actual values from a sketch whose
-    rank error is at most rows/accuracy, and everything comes from a single pass.
+    Quartiles are exact, with linear interpolation, and take a second scan. With
+    ``accuracy`` there is only one, and they are values of the column whose rank is
+    off by at most rows/accuracy.
     """
     numbers = df.select(*[known(F.col(c)).alias(c) for c in cols])
 
     def summary(c):
-        parts = [
+        if accuracy:
+            ranks = F.percentile_approx(c, list(QUARTILES.values()), accuracy)
+            quartiles = [ranks[i].alias(name) for i, name in enumerate(QUARTILES)]
+        else:
+            quartiles = sketch(c, QUARTILES)
+        return F.struct(
             F.lit(c).alias("column"),
             F.count(c).alias("count"),
             F.avg(c).alias("mean"),
             F.stddev_samp(c).alias("std"),
             F.min(c).alias("min"),
             F.max(c).alias("max"),
-        ]
-        if accuracy:
-            parts.append(
-                F.percentile_approx(c, list(QUARTILES.values()), accuracy).alias("quartiles")
-            )
-        return F.struct(*parts)
+            *quartiles,
+        )
 
     wide = numbers.agg(F.array(*[summary(c) for c in cols]).alias("parts"))
     out = wide.select(F.inline("parts"))
-    if accuracy:
-        for i, name in enumerate(QUARTILES):
-            out = out.withColumn(name, F.get("quartiles", F.lit(i)))
-    else:
-        found = quantiles(ranked_values(df, cols), ["column"], QUARTILES)
-        out = match(out, bounded(found), ["column"])
+    if not accuracy:
+        out = bounded(out)
+        out = match(out, quantiles(df, cols, QUARTILES, sketches=out), ["column"])
     return out.select("column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
@@ -151,10 +149,10 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return pairs.select("pair.x", "pair.y", "corr")
 
 
-def box_fences(ranked: DataFrame, keys: list[str], k: float) -> DataFrame:
-    """Quartiles and fences of what ``ranked_values`` returns."""
+def box_fences(df: DataFrame, group: str, cols: list[str], k: float) -> DataFrame:
+    """Quartiles and fences per group and column."""
+    found = quantiles(df, cols, QUARTILES, [group]).where(F.col(group).isNotNull())
     spread = F.col("q75") - F.col("q25")
-    found = quantiles(ranked, keys, QUARTILES)
     return found.withColumns(
         {
             "low_fence": F.col("q25") - F.lit(k) * spread,
@@ -168,19 +166,17 @@ def box_stats(df: DataFrame, group: str, cols: list[str], k: float = 1.5) -> Dat
     of outliers.
 
     A whisker ends at the last value inside ``k`` interquartile ranges, but never
-    inside the box. Groups that are NULL are left out. The raw rows are read once;
-    all else comes from their distinct values.
+    inside the box. Groups that are NULL are left out.
     """
     keys = [group, "column"]
-    ranked = ranked_values(df, cols, [group]).where(F.col(group).isNotNull())
-    fences = bounded(box_fences(ranked, keys, k))
+    rows = match(melt(df, cols, [group]), box_fences(df, group, cols, k), keys, "inner")
     value = F.col("value")
     inside = value.between(F.col("low_fence"), F.col("high_fence"))
-    boxes = match(ranked, fences, keys).groupBy(*keys, *QUARTILES).agg(
+    boxes = rows.groupBy(*keys, *QUARTILES).agg(
+        F.count("*").alias("n"),
         F.min(F.when(inside, value)).alias("_low"),
         F.max(F.when(inside, value)).alias("_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
-        F.sum("n").alias("n"),
+        F.count_if(~inside).alias("outliers"),
     )
     return boxes.select(
         *keys,
@@ -194,8 +190,7 @@ def box_stats(df: DataFrame, group: str, cols: list[str], k: float = 1.5) -> Dat
 
 def box_outliers(df: DataFrame, group: str, col: str, k: float = 1.5) -> DataFrame:
     """The rows of ``df`` outside the fences of their group, with the fences."""
-    ranked = ranked_values(df, [col], [group]).where(F.col(group).isNotNull())
-    fences = bounded(box_fences(ranked, [group], k).drop(*QUARTILES))
+    fences = box_fences(df, group, [col], k).drop("column", *QUARTILES)
     value = known(F.col(col))
     outside = (value < F.col("low_fence")) | (value > F.col("high_fence"))
     return match(df, fences, [group], "inner").where(outside)

@@ -1,32 +1,44 @@
 """Exact running totals and quantiles over sorted values, without a window that
 holds all rows.
 
-Both start from one row per distinct value with its counts, which Spark combines
-before the shuffle, so a value shared by a third of all rows is still one row.
-Those rows are range-partitioned by value and stored. Each slice then sums its
-own rows, and the totals of the slices before it, one row per slice, are added.
+Running totals start from one row per distinct value with its counts, which Spark
+combines before the shuffle, so a value shared by a third of all rows is one row.
+Those rows are range-partitioned by value and stored. Each slice then sums its own
+rows, and the totals of the slices before it, one row per slice, are added.
+
+Quantiles first take a sketch, which says between which values each of them must
+lie. Only values between those are told apart; all others are merely counted. So
+two scans and a small shuffle are enough, however many distinct values there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import math
+import operator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicepulse.functions.rules import known
 from devicepulse.session import bounded, match, stored
 
+# The sketch is off by at most rows / ACCURACY ranks; brackets leave twice that.
+ACCURACY = 10_000
+MARGIN = 2 / ACCURACY
+
 
 def running_totals(
-    counts: DataFrame, by: list[str], value: str, measures: list[str]
+    counts: DataFrame, by: list[str], order: list[str], measures: list[str]
 ) -> DataFrame:
-    """For each measure m add ``m_before``, its sum over the smaller values of the
-    same group, and ``m_total``, its sum over the group.
+    """For each measure m add ``m_before``, its sum over the rows of the same group
+    that come earlier in ``order``, and ``m_total``, its sum over the group.
 
-    ``counts`` has one row per (``by``, ``value``). The result is stored, so its
+    ``counts`` has one row per (``by``, ``order``). The result is stored, so its
     users may read it more than once.
     """
     slices = stored(
-        counts.repartitionByRange(*by, value).withColumn("_slice", F.spark_partition_id())
+        counts.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id())
     )
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +52,7 @@ def running_totals(
     )
     inside = (
         Window.partitionBy(*by, "_slice")
-        .orderBy(value)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     joined = match(slices, bounded(offsets), [*by, "_slice"])
@@ -59,21 +71,60 @@ def melt(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     return numbers.unpivot(list(by), cols, "column", "value").where("value IS NOT NULL")
 
 
-def ranked_values(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
-    """Distinct values of each column and group with their counts ``n``,
-    ``n_before`` and ``n_total``."""
-    keys = [*by, "column"]
-    counts = melt(df, cols, by).groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    return running_totals(counts, keys, "value", ["n"])
+def sketch(value: Column | str, probabilities: dict[str, float]) -> list[Column]:
+    """Aggregates ``n`` and ``edges``: two values per quantile that it lies between."""
+    edges = [
+        edge
+        for p in probabilities.values()
+        for edge in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))
+    ]
+    return [
+        F.count(value).alias("n"),
+        F.percentile_approx(value, edges, ACCURACY).alias("edges"),
+    ]
+
+
+def _brackets(sketches: DataFrame, keys: list[str], how_many: int) -> DataFrame:
+    """Columns ``_low0, _high0, _low1, …`` per key; open where there are few rows."""
+    few = F.col("n") <= 10 * ACCURACY
+    sides = [("_low", 0, -math.inf), ("_high", 1, math.inf)]
+    return sketches.select(
+        *keys,
+        *[
+            F.when(few, F.lit(open_)).otherwise(F.get("edges", F.lit(2 * i + j))).alias(f"{name}{i}")
+            for i in range(how_many)
+            for name, j, open_ in sides
+        ],
+    )
+
+
+def _ranked(long: DataFrame, keys: list[str], brackets: DataFrame | None, how_many: int):
+    """Values with their counts ``n``, ``n_before`` and ``n_total``. A value outside
+    every bracket is ``coarse``: counted at the end of the bracket before it."""
+    value, coarse = F.col("value"), F.lit(False)
+    if brackets is not None:
+        long = match(long, bounded(brackets), keys)
+        outside = []
+        before = F.lit(-math.inf)
+        for i in range(how_many):
+            low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+            outside += [(value < low, before, True), (value <= high, value, False)]
+            before = high
+        value, coarse = before, F.lit(True)
+        for condition, stand_in, is_coarse in reversed(outside):
+            value = F.when(condition, stand_in).otherwise(value)
+            coarse = F.when(condition, F.lit(is_coarse)).otherwise(coarse)
+    placed = long.select(*keys, value.alias("value"), coarse.alias("coarse"))
+    counts = placed.groupBy(*keys, "value", "coarse").agg(F.count("*").alias("n"))
+    return running_totals(counts, keys, ["value", "coarse"], ["n"])
 
 
-def quantiles(ranked: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one named column each, of what
-    ``ranked_values`` returns."""
+def _pick(ranked: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Quantiles with linear interpolation; NULL where one falls on a coarse value."""
 
     def at(rank):
         here = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(here, F.col("value")))
+        return F.max(F.when(here & ~F.col("coarse"), F.col("value")))
 
     picks = []
     for name, p in probabilities.items():
@@ -94,3 +145,30 @@ def quantiles(ranked: DataFrame, keys: list[str], probabilities: dict[str, float
             for name in probabilities
         ],
     )
+
+
+def quantiles(
+    df: DataFrame,
+    cols: list[str],
+    probabilities: dict[str, float],
+    by: list[str] = (),
+    sketches: DataFrame | None = None,
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group and column and
+    one named column per quantile. Groups without values have no row.
+
+    ``sketches`` may be given if a caller has them: one row per (``by``, ``column``)
+    with what ``sketch`` returns. Should a quantile lie outside its bracket, which
+    the error bound of the sketch rules out, all values are ranked instead.
+    """
+    keys = [*by, "column"]
+    long = melt(df, cols, by)
+    if sketches is None:
+        sketches = long.groupBy(*keys).agg(*sketch("value", probabilities))
+    brackets = _brackets(sketches, keys, len(probabilities))
+    narrow = _ranked(long, keys, brackets, len(probabilities))
+    found = bounded(_pick(narrow, keys, probabilities))
+    missed = functools.reduce(operator.or_, [F.col(name).isNull() for name in probabilities])
+    if found.where(missed).isEmpty():
+        return found
+    return bounded(_pick(_ranked(long, keys, None, 0), keys, probabilities))

@@ -39,19 +39,56 @@ def test_describe_equals_pandas(spark, skewed, many_slices):
         assert [rows[c][n] for n in names] == pytest.approx(list(expected[c]), rel=1e-9, abs=1e-9)
 
 
-def test_values_span_several_slices(spark, skewed, many_slices):
+def test_running_totals_over_several_slices(spark, skewed, many_slices):
     _, df = skewed
     counts = df.groupBy("a").agg(F.count("*").alias("n"))
     slices = counts.repartitionByRange("a").select(F.spark_partition_id().alias("s"))
     assert slices.distinct().count() > 1
-    ranked = ranks.ranked_values(df, ["a"]).orderBy("value").collect()
     running = 0
-    for row in ranked:
+    for row in ranks.running_totals(counts, [], ["a"], ["n"]).orderBy("a").collect():
         assert row.n_before == running and row.n_total == 3000
         running += row.n
     assert running == 3000
 
 
+@pytest.fixture
+def coarse(monkeypatch):
+    """A sketch so rough that a few thousand rows are enough for narrow brackets."""
+    monkeypatch.setattr(ranks, "ACCURACY", 50)
+    monkeypatch.setattr(ranks, "MARGIN", 2 / 50)
+
+
+def test_quantiles_from_narrow_brackets(spark, skewed, many_slices, coarse):
+    frame, df = skewed
+    rows = by_column(profile.describe(df, ["a", "b", "c"]))
+    for c in "abc":
+        expected = frame[c].quantile([0.25, 0.5, 0.75])
+        found = [rows[c].q25, rows[c].q50, rows[c].q75]
+        assert found == pytest.approx(list(expected), rel=1e-9, abs=1e-9)
+    boxes = {r.g: r for r in profile.box_stats(df, "g", ["a"]).collect()}
+    for g, part in frame.groupby("g"):
+        expected = part.a.quantile([0.25, 0.5, 0.75])
+        found = [boxes[g].q25, boxes[g].q50, boxes[g].q75]
+        assert found == pytest.approx(list(expected), rel=1e-9, abs=1e-9)
+
+
+def test_narrow_brackets_leave_few_values_to_rank(spark, coarse):
+    df = spark.range(10_000).select(F.col("id").cast("double").alias("a"))
+    long = ranks.melt(df, ["a"])
+    sketches = long.groupBy("column").agg(*ranks.sketch("value", {"m": 0.5}))
+    brackets = ranks._brackets(sketches, ["column"], 1)
+    ranked = ranks._ranked(long, ["column"], brackets, 1)
+    assert ranked.count() < 2000
+    assert ranked.agg(F.sum("n")).first()[0] == 10_000
+    assert ranks.quantiles(df, ["a"], {"m": 0.5}).first().m == 4999.5
+
+
+def test_quantiles_outside_wrong_brackets_are_found_anyway(spark, coarse):
+    df = spark.range(1_000).select(F.col("id").cast("double").alias("a"))
+    wrong = spark.createDataFrame([("a", 1000, [5.0, 6.0])], "column string, n long, edges array<double>")
+    assert ranks.quantiles(df, ["a"], {"m": 0.5}, sketches=wrong).first().m == 499.5
+
+
 def test_describe_sketch_is_close(spark, skewed):
     frame, df = skewed
     row = by_column(profile.describe(df, ["a"], accuracy=10_000))["a"]
