@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from devicepulse.functions.rules import known
 from devicepulse.session import bounded, match, stored
 
-# The sketch is off by at most rows / ACCURACY ranks; brackets leave twice that.
-ACCURACY = 10_000
+# The sketch is off by at most rows / ACCURACY ranks; brackets leave twice that. More
+# accuracy means fewer values to rank but larger sketches to merge in one task.
+ACCURACY = 2_000
 MARGIN = 2 / ACCURACY
 
 

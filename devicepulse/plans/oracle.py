@@ -412,6 +412,15 @@ SELECT Reading_ID, Device_ID, CAST(Risk_Score > {dbl(0.65)} AS INT) AS predictio
        {r6('p')} AS probability, risk, {band_column('risk', 1)} AS risk_color,
        {band_column('risk', 2)} AS status_text, {band_column('risk', 3)} AS action_text,
        {advisory_list(S.ADVISORY_TEXTS)} AS advisory, 'Risk Score' AS model_used FROM b""",
+    "encode_responses": f"""{VIEW}, b AS (SELECT *, {PROB} AS p, {band_of(PROB)} AS risk FROM r)
+SELECT Reading_ID, TRUE AS success, CAST(Risk_Score > {dbl(0.65)} AS INT) AS prediction,
+       {r6('p')} AS probability, risk, {band_column('risk', 1)} AS risk_color,
+       {band_column('risk', 2)} AS status_text, {advisory_list(S.ADVISORY_TEXTS)} AS advisory,
+       'Risk Score' AS model_used FROM b""",
+    "fleet_summary_json": summary(None),
+    "sql_functions": f"""{VIEW} SELECT Reading_ID, {r6(SCORE)} AS score,
+       CAST({SCORE} > {dbl(0.65)} AS INT) AS label, {band_of(f'({SCORE})')} AS band,
+       Device_Type AS kind FROM r""",
     "debounce": """WITH e AS (
   SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt
   FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from devicepulse import schema as S
 from devicepulse.functions import rules, text
+from devicepulse.functions.sql import register_functions
 from devicepulse.operators import (
     evaluation,
     features,
@@ -20,7 +21,7 @@ from devicepulse.operators import (
     training,
 )
 from devicepulse.plans.readings import DIRTY, REQUEST, readings, table
-from devicepulse.sources.requests import decode_requests
+from devicepulse.sources import requests
 from devicepulse.streaming.debounce import debounce as keep_last
 
 # Thresholds of the risk score that act as three models, and their names.
@@ -137,9 +138,9 @@ def _columns(sql: str) -> list[str]:
     return [line.strip().rstrip(",") for line in sql.strip().splitlines()]
 
 
-def decoded_requests(spark, sf):
-    requests = readings(spark, sf).selectExpr("Reading_ID", f"{REQUEST} AS request")
-    decoded = decode_requests(requests)
+def decode_requests(spark, sf):
+    rows = readings(spark, sf).selectExpr("Reading_ID", f"{REQUEST} AS request")
+    decoded = requests.decode_requests(rows)
     return decoded.select(
         "Reading_ID", *S.FEATURES, F.array_join("reasons", "|").alias("reasons")
     )
@@ -349,6 +350,38 @@ def rule_scoring(spark, sf):
     )
 
 
+def encode_responses(spark, sf):
+    """Responses as JSON text, read back so that their fields can be compared."""
+    encoded = requests.encode_responses(scoring.score_by_rule(readings(spark, sf)))
+    fields = (
+        "success boolean, prediction int, probability double, risk string, risk_color string, "
+        "status_text string, advisory array<string>, model_used string"
+    )
+    parsed = encoded.select("Reading_ID", F.from_json("response", fields).alias("r"))
+    out = parsed.select("Reading_ID", "r.*")
+    out = out.withColumn("advisory", F.array_join("advisory", "|"))
+    return _rounded(out, "probability")
+
+
+def fleet_summary_json(spark, sf):
+    """The fleet summary as JSON text, read back so that its fields can be compared."""
+    summary = fleet.fleet_summary(readings(spark, sf))
+    parsed = fleet.as_json(summary).select(F.from_json("response", summary.schema).alias("r"))
+    return parsed.select("r.*")
+
+
+def sql_functions(spark, sf):
+    """The rules as functions in SQL text."""
+    register_functions(spark)
+    readings(spark, sf).createOrReplaceTempView("devicepulse_readings")
+    score = f"risk_score({', '.join(S.RISK_WEIGHTS)})"
+    out = spark.sql(
+        f"SELECT Reading_ID, {score} AS score, risk_label({score}) AS label, "
+        f"risk_band({score}) AS band, device_type(Device_Type) AS kind FROM devicepulse_readings"
+    )
+    return _rounded(out, "score")
+
+
 def debounce(spark, sf):
     events = table(spark, sf, "events")
     last = keep_last(events, "user_id", "ts", dt.timedelta(minutes=30), tiebreak="event_id")
@@ -404,16 +437,16 @@ def fleet_scoring(spark, sf):
 REGISTERED = [
     fleet_summary, fleet_by_type, fleet_by_device, risk_score, threshold_label,
     feature_projection, rounded_measurements, risk_band, band_details, advisories,
-    advisory_counts, validation_report, normalize_type, apply_defaults, device_ids, head,
+    advisory_counts, validation_report, decode_requests, normalize_type, apply_defaults, device_ids, head,
     riskiest_devices, shape, missing_counts, column_info, describe, failure_distribution,
     type_breakdown, correlation_matrix, box_stats_cpu, box_stats_memory, box_stats_temperature,
     box_outliers, confusion, binary_metrics, roc_auc, classification_report, leaderboard,
     leaderboard_status, best_model, stratified_split, split_counts, split_counts_labels,
     class_weights, class_weights_labels, standardized, one_hot, linear_score, rule_scoring,
-    debounce, describe_lineitem, missing_counts_lineitem, value_counts_events,
+    encode_responses, fleet_summary_json, sql_functions, debounce, describe_lineitem, missing_counts_lineitem, value_counts_events,
     correlation_lineitem, box_stats_lineitem, box_stats_events, train_compare, fleet_scoring,
 ]
-QUERIES = {f.__name__: f for f in REGISTERED} | {"decode_requests": decoded_requests}
+QUERIES = {f.__name__: f for f in REGISTERED}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ def debounce(
     Events exactly one gap apart belong to the same burst. Of events at the same
     time the one with the highest ``tiebreak`` is the last. Rows without a key or
     time are left out. A stream needs a ``watermark`` delay; events later than that
-    are dropped, and a burst is emitted once the watermark has passed its end.
+    are dropped, and a burst is emitted once the watermark has passed its end. Times
+    without a zone are read in the time zone of the session.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     micros = gap // dt.timedelta(microseconds=1)
