@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicepulse.operators.ranks import running_totals
-from devicepulse.session import bounded
+from devicepulse.session import bounded, names
 from devicepulse.sources.errors import NoModelChosen
 
 CELLS = ["tp", "fp", "fn", "tn"]
@@ -42,14 +42,18 @@ def _metrics() -> list[Column]:
     ]
 
 
-def confusion(df: DataFrame, label: str, pred: str, by: list[str] = ()) -> DataFrame:
+def confusion(
+    df: DataFrame, label: str, pred: str, by: str | list[str] | None = None
+) -> DataFrame:
     """Counts ``tp``, ``fp``, ``fn`` and ``tn`` of class 1."""
-    return df.groupBy(*by).agg(*_cell_counts(label, pred))
+    return df.groupBy(*names(by)).agg(*_cell_counts(label, pred))
 
 
-def binary_metrics(df: DataFrame, label: str, pred: str, by: list[str] = ()) -> DataFrame:
+def binary_metrics(
+    df: DataFrame, label: str, pred: str, by: str | list[str] | None = None
+) -> DataFrame:
     """Accuracy, precision, recall and F1 of class 1; 0 where a ratio is 0/0."""
-    return confusion(df, label, pred, by).select(*by, *_metrics())
+    return confusion(df, label, pred, by).select(*names(by), *_metrics())
 
 
 def _area() -> Column:
@@ -72,10 +76,10 @@ def _ranked(df: DataFrame, by: list[str], label: str, score: str, *extra: Column
     return running_totals(counts, by, [score], ["pos", "neg"])
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, by: str | list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve, from the scores rather than the classes."""
-    ranked = _ranked(df, list(by), label, score)
-    return ranked.groupBy(*by).agg(_area().alias("roc_auc"))
+    ranked = _ranked(df, names(by), label, score)
+    return ranked.groupBy(*names(by)).agg(_area().alias("roc_auc"))
 
 
 def leaderboard(df: DataFrame, model: str, label: str, pred: str, score: str) -> DataFrame:

@@ -56,7 +56,8 @@ def one_hot(
     if len(levels) > MAX_LEVELS:
         raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
     fitted = F.coalesce(F.col(col).isin(levels), F.lit(False))
-    message = F.concat(F.lit(f"unknown {col}: "), F.coalesce(F.col(col).cast("string"), F.lit("NULL")))
+    shown = F.coalesce(F.col(col).cast("string"), F.lit("NULL"))
+    message = F.concat(F.lit(f"unknown {col}: "), shown)
     kept = levels[1:] if drop == "first" else levels
     return df.withColumns(
         {

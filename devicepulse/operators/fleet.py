@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from devicepulse import schema as S
 from devicepulse.functions.rules import fires
+from devicepulse.session import names
 from devicepulse.sources.requests import NO_MODEL
 
 
 def fleet_summary(
-    df: DataFrame, by: list[str] = (), active_model: str = NO_MODEL
+    df: DataFrame, by: str | list[str] | None = None, active_model: str = NO_MODEL
 ) -> DataFrame:
     """Totals, health rate in percent and average readings, overall or per group.
 
@@ -20,7 +21,7 @@ def fleet_summary(
     total = F.count("*")
     failed = F.coalesce(F.sum(S.LABEL), F.lit(0))
     average = lambda c: F.round(F.avg(c), 2)
-    return df.groupBy(*by).agg(
+    return df.groupBy(*names(by)).agg(
         F.lit(True).alias("success"),
         total.alias("total_devices"),
         failed.alias("failed_count"),
@@ -59,5 +60,5 @@ def advisory_counts(
 
 def riskiest(df: DataFrame, score: str, key: str | list[str], k: int) -> DataFrame:
     """The ``k`` rows with the highest score, ties by key."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return df.where(F.col(score).isNotNull()).orderBy(F.desc(score), *keys).limit(k)
+    scored = df.where(F.col(score).isNotNull())
+    return scored.orderBy(F.desc(score), *names(key)).limit(k)

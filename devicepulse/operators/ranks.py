@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicepulse.functions.rules import known
-from devicepulse.session import bounded, match, stored
+from devicepulse.session import bounded, match, names, stored
 
 # The sketch is off by at most rows / ACCURACY ranks; brackets leave twice that. More
 # accuracy means fewer values to rank but larger sketches to merge in one task.
@@ -66,10 +66,10 @@ def running_totals(
     ).drop("_slice", *[f"_{m}_offset" for m in measures])
 
 
-def melt(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
+def melt(df: DataFrame, cols: list[str], by: str | list[str] | None = None) -> DataFrame:
     """Long form (``by``, ``column``, ``value``) without missing values."""
-    numbers = df.select(*by, *[known(F.col(c)).alias(c) for c in cols])
-    return numbers.unpivot(list(by), cols, "column", "value").where("value IS NOT NULL")
+    numbers = df.select(*names(by), *[known(F.col(c)).alias(c) for c in cols])
+    return numbers.unpivot(names(by), cols, "column", "value").where("value IS NOT NULL")
 
 
 def sketch(value: Column | str, probabilities: dict[str, float]) -> list[Column]:
@@ -88,15 +88,15 @@ def sketch(value: Column | str, probabilities: dict[str, float]) -> list[Column]
 def _brackets(sketches: DataFrame, keys: list[str], how_many: int) -> DataFrame:
     """Columns ``_low0, _high0, _low1, …`` per key; open where there are few rows."""
     few = F.col("n") <= 10 * ACCURACY
-    sides = [("_low", 0, -math.inf), ("_high", 1, math.inf)]
-    return sketches.select(
-        *keys,
-        *[
-            F.when(few, F.lit(open_)).otherwise(F.get("edges", F.lit(2 * i + j))).alias(f"{name}{i}")
-            for i in range(how_many)
-            for name, j, open_ in sides
-        ],
-    )
+
+    def edge(place, limit):
+        return F.when(few, F.lit(limit)).otherwise(F.get("edges", F.lit(place)))
+
+    sides = []
+    for i in range(how_many):
+        sides.append(edge(2 * i, -math.inf).alias(f"_low{i}"))
+        sides.append(edge(2 * i + 1, math.inf).alias(f"_high{i}"))
+    return sketches.select(*keys, *sides)
 
 
 def _ranked(long: DataFrame, keys: list[str], brackets: DataFrame | None, how_many: int):
@@ -152,7 +152,7 @@ def quantiles(
     df: DataFrame,
     cols: list[str],
     probabilities: dict[str, float],
-    by: list[str] = (),
+    by: str | list[str] | None = None,
     sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and column and
@@ -162,7 +162,7 @@ def quantiles(
     with what ``sketch`` returns. Should a quantile lie outside its bracket, which
     the error bound of the sketch rules out, all values are ranked instead.
     """
-    keys = [*by, "column"]
+    keys = [*names(by), "column"]
     long = melt(df, cols, by)
     if sketches is None:
         sketches = long.groupBy(*keys).agg(*sketch("value", probabilities))

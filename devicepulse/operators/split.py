@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from devicepulse.session import bounded, match
+from devicepulse.session import bounded, match, names
 
 TEST = "_is_test"
 
 
 def key_hash(key: str | list[str], seed: int) -> Column:
     """Hex digest that orders rows at random but reproducibly."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *keys))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *names(key)))
 
 
 def mark_test(

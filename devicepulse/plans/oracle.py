@@ -345,7 +345,8 @@ ORACLE = {
     "fleet_by_type": summary("Device_Type"),
     "fleet_by_device": summary("Device_ID"),
     "risk_score": f"{VIEW} SELECT Reading_ID, {r6(SCORE)} AS score FROM r",
-    "threshold_label": f"{VIEW} SELECT Reading_ID, CAST({SCORE} > {dbl(0.65)} AS INT) AS label FROM r",
+    "threshold_label": f"{VIEW} SELECT Reading_ID, "
+    f"CAST({SCORE} > {dbl(0.65)} AS INT) AS label FROM r",
     "feature_projection": f"{VIEW} SELECT {', '.join(S.FEATURES)}, Failed FROM r",
     "rounded_measurements": f"{VIEW} SELECT Reading_ID, "
     + ", ".join(f"round({c} / 3, 2) AS {c}" for c in S.MEASUREMENTS)

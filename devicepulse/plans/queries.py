@@ -437,13 +437,14 @@ def fleet_scoring(spark, sf):
 REGISTERED = [
     fleet_summary, fleet_by_type, fleet_by_device, risk_score, threshold_label,
     feature_projection, rounded_measurements, risk_band, band_details, advisories,
-    advisory_counts, validation_report, decode_requests, normalize_type, apply_defaults, device_ids, head,
-    riskiest_devices, shape, missing_counts, column_info, describe, failure_distribution,
-    type_breakdown, correlation_matrix, box_stats_cpu, box_stats_memory, box_stats_temperature,
-    box_outliers, confusion, binary_metrics, roc_auc, classification_report, leaderboard,
-    leaderboard_status, best_model, stratified_split, split_counts, split_counts_labels,
-    class_weights, class_weights_labels, standardized, one_hot, linear_score, rule_scoring,
-    encode_responses, fleet_summary_json, sql_functions, debounce, describe_lineitem, missing_counts_lineitem, value_counts_events,
+    advisory_counts, validation_report, decode_requests, normalize_type, apply_defaults,
+    device_ids, head, riskiest_devices, shape, missing_counts, column_info, describe,
+    failure_distribution, type_breakdown, correlation_matrix, box_stats_cpu, box_stats_memory,
+    box_stats_temperature, box_outliers, confusion, binary_metrics, roc_auc,
+    classification_report, leaderboard, leaderboard_status, best_model, stratified_split,
+    split_counts, split_counts_labels, class_weights, class_weights_labels, standardized,
+    one_hot, linear_score, rule_scoring, encode_responses, fleet_summary_json, sql_functions,
+    debounce, describe_lineitem, missing_counts_lineitem, value_counts_events,
     correlation_lineitem, box_stats_lineitem, box_stats_events, train_compare, fleet_scoring,
 ]
 QUERIES = {f.__name__: f for f in REGISTERED}

@@ -63,7 +63,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """``df`` as a local relation if it has at most ``limit`` rows, else unchanged.
+    """``df`` as a local relation if it has at most ``limit`` rows, else stored.
 
     Use it on the small side of a join. A local relation has an exact size, so
     Spark broadcasts it without a hint and does not shuffle the other side; a
@@ -71,7 +71,7 @@ def bounded(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """
     rows = df.limit(limit + 1).toArrow()
     if rows.num_rows > limit:
-        return df
+        return stored(df)
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
@@ -82,6 +82,13 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     return spark.createDataFrame(table, schema)
 
 
+def names(columns: str | list[str] | None) -> list[str]:
+    """Column names given as one name, several or none."""
+    if columns is None:
+        return []
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on ``keys`` with NULL equal to NULL, keeping the keys of ``left`` once."""
     if not keys:

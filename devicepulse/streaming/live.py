@@ -28,7 +28,7 @@ def score_stream(
 
 
 def fleet_summary_stream(
-    stream: DataFrame, by: list[str] = (), active_model: str = NO_MODEL
+    stream: DataFrame, by: str | list[str] | None = None, active_model: str = NO_MODEL
 ) -> DataFrame:
     """Running fleet summary, to be written in complete (or update) mode. The state
     is one row of sums and counts per group."""

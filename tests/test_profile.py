@@ -85,7 +85,8 @@ def test_narrow_brackets_leave_few_values_to_rank(spark, coarse):
 
 def test_quantiles_outside_wrong_brackets_are_found_anyway(spark, coarse):
     df = spark.range(1_000).select(F.col("id").cast("double").alias("a"))
-    wrong = spark.createDataFrame([("a", 1000, [5.0, 6.0])], "column string, n long, edges array<double>")
+    columns = "column string, n long, edges array<double>"
+    wrong = spark.createDataFrame([("a", 1000, [5.0, 6.0])], columns)
     assert ranks.quantiles(df, ["a"], {"m": 0.5}, sketches=wrong).first().m == 499.5
 
 
@@ -117,7 +118,8 @@ def test_quartiles_of_any_values(spark, values):
 
 def test_correlation_equals_pandas(spark, skewed):
     frame, df = skewed
-    pairs = {(r.x, r.y): r["corr"] for r in profile.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    matrix = profile.correlation_matrix(df, ["a", "b", "c"])
+    pairs = {(r.x, r.y): r["corr"] for r in matrix.collect()}
     expected = frame[["a", "b"]].corr()
     assert len(pairs) == 9
     for x in "ab":

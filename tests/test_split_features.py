@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from devicepulse import schema as S
 from devicepulse.operators import features, quality, split
-from devicepulse.session import bounded
+from devicepulse.session import bounded, match
 from devicepulse.sources.telemetry import device_rows
 
 
@@ -91,7 +91,8 @@ def test_one_hot(spark):
 
 
 def test_feature_stages_order_and_unknown_level(spark):
-    rows = [{"CPU_Usage": float(i), "Device_Type": t} for i, t in enumerate(["Router", "Switch"] * 3)]
+    kinds = ["Router", "Switch"] * 3
+    rows = [{"CPU_Usage": float(i), "Device_Type": kind} for i, kind in enumerate(kinds)]
     df = device_rows(spark, rows)
     model = features.fit_features(df)
     vectors = [r.features.toArray() for r in model.transform(df).orderBy("CPU_Usage").collect()]
@@ -137,3 +138,11 @@ def test_validation(spark):
     ]
     own = [("busy", F.col("CPU_Usage") < 95)]
     assert quality.validate(df, own)[1].count() == 2
+
+
+def test_large_side_is_stored_and_still_matches(spark):
+    left = spark.range(50).withColumn("k", F.when(F.col("id") % 5 > 0, F.col("id") % 5))
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    for limit in (10, 2):
+        joined = match(left, bounded(right, limit), ["k"]).collect()
+        assert len(joined) == 50 and {r.n for r in joined} == {10}

@@ -51,7 +51,8 @@ def test_summary_stream_equals_batch(spark, sf_dir, tmp_path):
 
 def test_debounce_stream_equals_batch(spark, sf_dir, tmp_path):
     events = table(spark, sf_dir, "events")
-    expected = {r.event_id for r in debounce(events, "user_id", "ts", MINUTES, "event_id").collect()}
+    batch = debounce(events, "user_id", "ts", MINUTES, "event_id")
+    expected = {r.event_id for r in batch.collect()}
     stream = streamed(spark, events, tmp_path, files=1)
     out = debounce(stream, "user_id", "ts", MINUTES, "event_id", watermark="1 hour")
     assert out.dtypes == events.dtypes
@@ -76,7 +77,9 @@ def test_debounce_against_brute_force_with_a_hot_key(spark):
     start = dt.datetime(2024, 1, 1)
     # Key 0 has most events; some are equal in time, some exactly one gap apart.
     seconds = [(i * i * 7) % 5000 for i in range(300)]
-    rows = [(0 if i % 3 else i % 5, start + dt.timedelta(seconds=s), i) for i, s in enumerate(seconds)]
+    rows = [
+        (0 if i % 3 else i % 5, start + dt.timedelta(seconds=s), i) for i, s in enumerate(seconds)
+    ]
     df = spark.createDataFrame(rows, "k int, t timestamp_ntz, id int")
     for gap in (0, 1, 5, 20, 500):
         step = dt.timedelta(seconds=gap)
