@@ -11,6 +11,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from devicepulse.functions.rules import known
 from devicepulse.operators.ranks import running_totals
 from devicepulse.session import bounded, names
 from devicepulse.sources.errors import NoModelChosen
@@ -65,9 +66,9 @@ def _area() -> Column:
 
 
 def _ranked(df: DataFrame, by: list[str], label: str, score: str, *extra: Column) -> DataFrame:
-    """Positives and negatives per distinct score, with running totals. A NULL
+    """Positives and negatives per distinct score, with running totals. A missing
     score counts as neither."""
-    scored = F.col(score).isNotNull()
+    scored = known(F.col(score)).isNotNull()
     counts = df.groupBy(*by, score).agg(
         F.count_if(scored & (F.col(label) == 1)).alias("pos"),
         F.count_if(scored & (F.col(label) != 1)).alias("neg"),

@@ -35,7 +35,8 @@ def standardize(
     ).first()
     return df.withColumns(
         {
-            prefix + c: (F.col(c) - F.lit(stats[f"mean_{c}"])) / F.lit(stats[f"std_{c}"] or 1.0)
+            prefix + c: (known(F.col(c)) - F.lit(stats[f"mean_{c}"]))
+            / F.lit(stats[f"std_{c}"] or 1.0)
             for c in cols
         }
     )

@@ -48,16 +48,18 @@ def read_telemetry(
 ) -> DataFrame:
     """Read telemetry as ``csv``, ``json``, ``parquet`` or ``orc`` with a fixed schema.
 
-    CSV needs a header that names the schema's columns in order. NaN and the usual
-    spellings of a missing cell become NULL, as does a CSV cell of the wrong type;
-    with ``keep_errors`` the CSV reader adds ``read_errors``, which says which.
+    CSV columns are found by the names in the header, which must be the same in all
+    files; other columns are ignored. NaN and the usual spellings of a missing cell
+    become NULL, as does a CSV cell of the wrong type; with ``keep_errors`` the
+    column ``read_errors`` says which.
     """
     try:
         if fmt == "csv":
-            cells = T.StructType(
-                [T.StructField(f.name, T.StringType()) for f in schema]
-                + [T.StructField(CORRUPT, T.StringType())]
-            )
+            header = spark.read.option("header", True).csv(path).columns
+            absent = [name for name in schema.fieldNames() if name not in header]
+            if absent:
+                raise ValueError(f"no column {', '.join(absent)} in {path}")
+            cells = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
             raw = (
                 spark.read.schema(cells)
                 .option("header", True)

@@ -82,10 +82,10 @@ def test_single_class_and_missing_values(spark):
     one = spark.createDataFrame([("m", 1, 1, 0.9), ("m", 1, 0, 0.1)], SCHEMA)
     assert ev.roc_auc(one, "label", "probability").first()[0] is None
     assert ev.leaderboard(one, "model", "label", "prediction", "probability").first().f1 > 0
-    gaps = [("m", 1, 1, None), ("m", None, 1, 0.5), ("m", 1, 1, 0.9), ("m", 0, 0, 0.1)]
+    gaps = [("m", 1, 1, None), ("m", 0, 1, float("nan")), ("m", None, 1, 0.5), ("m", 1, 1, 0.9), ("m", 0, 0, 0.1)]
     df = spark.createDataFrame(gaps, SCHEMA)
     assert ev.roc_auc(df, "label", "probability").first()[0] == 1.0
-    assert tuple(ev.confusion(df, "label", "prediction").first()) == (2, 0, 0, 1)
+    assert tuple(ev.confusion(df, "label", "prediction").first()) == (2, 1, 0, 1)
 
 
 def test_zero_over_zero_is_zero(spark):

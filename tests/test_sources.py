@@ -54,6 +54,19 @@ def test_csv_missing_and_unreadable_cells(spark, tmp_path):
     assert "read_errors" not in telemetry.read_telemetry(spark, path).columns
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    names = [*reversed(S.TELEMETRY.fieldNames()), "Site"]
+    path = tmp_path / "moved.csv"
+    path.write_text(",".join(names) + "\n0,2,40.0,0.5,10,100,45.5,60,50.25,Router,DEV-00001,x\n")
+    row = telemetry.read_telemetry(spark, str(path), keep_errors=True).first()
+    assert (row.Device_ID, row.CPU_Usage, row.Failed) == ("DEV-00001", 50.25, 0)
+    assert row.read_errors == []
+    path = tmp_path / "short.csv"
+    path.write_text("Device_ID,CPU_Usage\na,1\n")
+    with pytest.raises(ValueError, match="no column Device_Type"):
+        telemetry.read_telemetry(spark, str(path))
+
+
 def test_nan_in_parquet_becomes_null(spark, tmp_path):
     row = ("DEV-00001", "Router", math.nan, 60.0, 45.5, 100.0, 10, 0.5, 40.0, 2, 0)
     path = str(tmp_path / "p")
