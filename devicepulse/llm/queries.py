@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from devicepulse.llm import exact_dedup, sharding
+from devicepulse.llm import exact_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6,
     "op7_byte_shards": sharding.op7,
+    "op9_toxicity": toxicity.op9,
+    "op10_quality": quality.op10,
 }
 ORACLE = {"op6_exact_dedup": exact_dedup.SQL}
