@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from devicepulse.llm import exact_dedup, quality, sharding, toxicity
+from devicepulse.llm import exact_dedup, packing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op4_token_counts": token_counts.op4,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_byte_shards": sharding.op7,
+    "op8_packing": packing.op8,
     "op9_toxicity": toxicity.op9,
     "op10_quality": quality.op10,
 }
