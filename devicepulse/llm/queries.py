@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from devicepulse.llm import exact_dedup, packing, quality, sharding, token_counts, toxicity
+from devicepulse.llm import exact_dedup, packing, quality, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_secrets": secrets.op1,
     "op4_token_counts": token_counts.op4,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_byte_shards": sharding.op7,
