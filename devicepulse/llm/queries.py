@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from devicepulse.llm import exact_dedup, packing, quality, secrets, sharding, token_counts, toxicity
+from devicepulse.llm import exact_dedup, packing, quality, secrets, sharding, token_counts, toxicity, vectors
 
 QUERIES = {
     "op1_secrets": secrets.op1,
+    "op3_near_vectors": vectors.op3,
     "op4_token_counts": token_counts.op4,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_byte_shards": sharding.op7,
