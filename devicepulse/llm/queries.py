@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from devicepulse.llm import exact_dedup, packing, quality, secrets, sharding, token_counts, toxicity, vectors
+from devicepulse.llm import exact_dedup, minhash, packing, quality, secrets, sharding, token_counts, toxicity, vectors
 
 QUERIES = {
     "op1_secrets": secrets.op1,
     "op3_near_vectors": vectors.op3,
     "op4_token_counts": token_counts.op4,
+    "op5_minhash": minhash.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_byte_shards": sharding.op7,
     "op8_packing": packing.op8,
