@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from devicepulse.llm import exact_dedup, minhash, packing, quality, secrets, sharding, token_counts, toxicity, vectors
+from devicepulse.llm import exact_dedup, minhash, mixing, packing, quality, secrets, sharding, token_counts, toxicity, vectors
 
 QUERIES = {
     "op1_secrets": secrets.op1,
+    "op2_mixing": mixing.op2,
     "op3_near_vectors": vectors.op3,
     "op4_token_counts": token_counts.op4,
     "op5_minhash": minhash.op5,

@@ -22,9 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from devicepulse.llm.labelled import logistic, remainder, sample, scored, squash
 from devicepulse.llm.words import PUNCTUATION, WHITE, WordHasher, mix
@@ -161,6 +164,18 @@ def toxicity(
     return scored(docs, model.score, id_col, text_col)
 
 
+def accepted(
+    docs: DataFrame, model: ToxicityModel, cut: float = 0.7, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` with scores below ``cut``, with all their columns."""
+
+    @pandas_udf(BooleanType())
+    def clean(text: pd.Series) -> pd.Series:
+        return pd.Series([s < cut for s in model.score(text.tolist())], dtype=bool)
+
+    return docs.where(clean(F.coalesce(text_col, F.lit(""))))
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     """Score and prediction for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
