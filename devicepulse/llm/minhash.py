@@ -7,7 +7,8 @@ of ``ROWS`` of them make buckets, and nodes that share a bucket are candidates:
 1. Every node is compared with the least node of each of its buckets, a star rather than
    all pairs, and verified links are united to components.
 2. Only buckets whose nodes are still in several components are compared throughout, in
-   blocks, and only across components. Pairs that survive are verified too.
+   blocks, and only across components: each pair in the first bucket that it shares, with
+   the full sets at hand. A task passes on links that join components, not its pairs.
 
 A comparison reads the signatures batch by batch and gives a pair up once the posterior
 probability that its similarity reaches the threshold, with a uniform prior, falls below
@@ -28,7 +29,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType, StructType
@@ -50,6 +51,9 @@ _PLUS = _DRAW.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _CHANCE = 1 / 256
 # Shingles that are hashed together.
 _STEP = 1_024
+# Bits of the sieve that keeps most texts that are not wanted out of a shuffle.
+SIEVE = 1 << 23
+_PAGE = 1 << 15
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -129,14 +133,20 @@ def _promising(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(promising(_bytes(left), _bytes(right)) if len(left) else [], dtype=bool)
 
 
+def similar(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.searchsorted(two, one)
+    both = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+    return 100 * both >= PERCENT * (len(one) + len(two) - both)
+
+
 @pandas_udf(BooleanType())
 def _linked(left: pd.Series, right: pd.Series) -> pd.Series:
-    def linked(a: bytes, b: bytes) -> bool:
-        one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        both = len(np.intersect1d(one, two, assume_unique=True))
-        return 100 * both >= PERCENT * (len(one) + len(two) - both)
-
-    return pd.Series([linked(a, b) for a, b in zip(left, right)], dtype=bool)
+    pairs = zip(left, right)
+    found = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs]
+    return pd.Series(found, dtype=bool)
 
 
 def _node(items: np.ndarray) -> str:
@@ -174,29 +184,52 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _in_buckets(nodes: DataFrame) -> DataFrame:
-    """(``bucket``, ``num``) for every band of every node."""
+    """(``bucket``, ``band``, ``num``) for every band of every node."""
 
     def batches(frames):
         for frame in frames:
             bands = np.frombuffer(b"".join(frame["bands"]), np.int64)
-            yield pd.DataFrame({"bucket": bands, "num": np.repeat(frame["num"].to_numpy(), BANDS)})
+            nums = np.repeat(frame["num"].to_numpy(), BANDS)
+            band = np.tile(np.arange(BANDS, dtype=np.int8), len(frame))
+            yield pd.DataFrame({"bucket": bands, "band": band, "num": nums})
+
+    return nodes.select("num", "bands").mapInPandas(batches, "bucket long, band byte, num long")
+
 
-    return nodes.select("num", "bands").mapInPandas(batches, "bucket long, num long")
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SIEVE))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str):
-    """(``num``, ``items``) of the nodes in ``pairs``, from the text of one document each."""
-    both = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
-    wanted = written(nodes.select("num", "node", "least").join(both, "num"), "wanted")
+def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``id`` is not in ``ids``. The sieve has a fixed
+    size; with very many ids it merely lets more rows through."""
+    bit = _bit("id")
+    pages = ids.groupBy(F.floor(bit / _PAGE).alias("page"))
+    pages = pages.agg(F.bitmap_construct_agg((bit % _PAGE).cast("long")).alias("bits"))
+    sieve = np.zeros((SIEVE // _PAGE, _PAGE // 8), np.uint8)
+    for row in pages.collect():  # at most SIEVE bits
+        sieve[row.page] = np.frombuffer(row.bits, np.uint8)
+    sieve = sieve.ravel()
+
+    @pandas_udf(BooleanType())
+    def marked(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy()
+        return pd.Series((sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1, dtype=bool)
+
+    return rows.where(marked(bit))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, nums: DataFrame, id_col: str, text_col: str):
+    """(``num``, ``items``) of the nodes in ``nums``, from the text of one document each."""
+    wanted = written(nodes.select("num", "node", "least").join(nums, "num"), "wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     ids = wanted.select(F.col("least").alias("id")).distinct()
-    found = same(texts, ids, ["id"]).select("text")
+    found = same(_sieved(texts, ids), ids, ["id"]).select("text")
 
     def batches(frames):
         for frame in frames:
             sets = [shingles(w) for w in WordHasher().each(frame["text"])]
-            some = [s for s in sets if len(s)]
-            rows = [(_node(s), s.tobytes()) for s in some]
+            rows = [(_node(s), s.tobytes()) for s in sets if len(s)]
             yield pd.DataFrame(rows, columns=["node", "items"])
 
     made = found.mapInPandas(batches, "node string, items binary")
@@ -216,24 +249,34 @@ def _beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame
 
 def _confirmed(pairs: DataFrame, docs, nodes, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs`` whose full sets are similar enough."""
-    sets = _sets(docs, nodes, pairs, id_col, text_col)
+    nums = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
+    sets = _sets(docs, nodes, nums, id_col, text_col)
     links = _beside(pairs, sets, ["items"]).where(_linked("a_items", "b_items"))
     return written(links.select("a", "b"), "confirmed")
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks of a bucket, or one: promising pairs in different components."""
+    """Of two blocks of a bucket, or one: links that join different components."""
     low, high = frame["low"].iloc[0], frame["high"].iloc[0]
-    left, right = frame[frame["own"] == low], frame[frame["own"] == high]
-    out = []
-    roots, n = right["root"].to_numpy(), right["n"].to_numpy()
-    nums, sigs = right["num"].to_numpy(), _bytes(right["sig"])
-    for row, sig in zip(left.itertuples(), _bytes(left["sig"])):
-        fits = 100 * np.minimum(n, row.n) >= PERCENT * np.maximum(n, row.n)
-        some = np.flatnonzero((roots != row.root) & fits & ((nums > row.num) | (low != high)))
-        some = some[promising(np.broadcast_to(sig, (len(some), HASHES)), sigs[some])]
-        out.append(pd.DataFrame({"a": row.num, "b": nums[some]}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    band = int(frame["band"].iloc[0])
+    frame = frame.sort_values("num", ignore_index=True)
+    own, n, nums = (frame[c].to_numpy() for c in ("own", "n", "num"))
+    sigs = _bytes(frame["sig"])
+    keys = np.frombuffer(b"".join(frame["bands"]), np.int64).reshape(-1, BANDS)[:, :band]
+    sets = [np.frombuffer(items, np.uint64) for items in frame["items"]]
+    root, links = frame["root"].to_numpy().copy(), []
+    for i in np.flatnonzero(own == low):
+        fits = 100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])
+        fits &= (own == high) & ((nums > nums[i]) | (low != high)) & (root != root[i])
+        fits &= ~(keys == keys[i]).any(axis=1)
+        some = np.flatnonzero(fits)
+        some = some[promising(np.broadcast_to(sigs[i], (len(some), HASHES)), sigs[some])]
+        agree = (sigs[some] == sigs[i]).sum(axis=1)
+        for j in some[np.argsort(-agree, kind="stable")]:
+            if root[j] != root[i] and similar(sets[i], sets[j]):
+                links.append((nums[i], nums[j]))
+                root[root == root[j]] = root[i]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -250,24 +293,20 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Dat
     roots = written(components(links, "stars"), "roots")
     # Buckets that still hold several components.
     named = shared.where("size > 2").join(roots.withColumnRenamed("node", "num"), "num", "left")
-    named = named.select("bucket", "num", "size", F.coalesce("root", "num").alias("root"))
+    named = named.select("bucket", "band", "num", "size", F.coalesce("root", "num").alias("root"))
     named = written(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other"))
     mixed = written(mixed.where("one <> other").select("bucket"), "mixed")
+    open_ = written(named.join(mixed, "bucket"), "open")
+    sets = _sets(docs, nodes, open_.select("num").distinct(), id_col, text_col)
     blocks = F.ceil(F.col("size") / BLOCK)
-    open_ = named.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("num"), blocks))
-    open_ = open_.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    open_ = open_.select(
-        "bucket",
-        F.least("own", "with").alias("low"),
-        F.greatest("own", "with").alias("high"),
-        "own",
-        "num",
-        "root",
-    ).join(nodes.select("num", "n", "sig"), "num")
-    rest = open_.groupBy("bucket", "low", "high").applyInPandas(_across, "a long, b long")
-    rest = written(rest.distinct(), "rest")
-    more = _confirmed(rest, docs, nodes, id_col, text_col)
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("num"), blocks))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    low, high = F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high")
+    dealt = dealt.select("bucket", "band", low, high, "own", "num", "root")
+    dealt = dealt.join(nodes.select("num", "n", "sig", "bands"), "num").join(sets, "num")
+    rest = dealt.groupBy("bucket", "low", "high").applyInPandas(_across, "a long, b long")
+    more = written(rest.distinct(), "rest")
     return components(links.unionByName(more), "documents")
 
 
