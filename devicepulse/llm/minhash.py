@@ -41,7 +41,7 @@ SHINGLE = 5
 PERCENT = 75
 HASHES, ROWS, BANDS, BATCH = 256, 5, 32, 32
 MISS = 1e-5
-BLOCK = 256
+BLOCK = 1_024
 
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _DRAW = np.random.default_rng(5)
