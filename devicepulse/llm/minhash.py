@@ -153,6 +153,11 @@ def _node(items: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(items.tobytes())
 
 
+def _raw(text_col: str) -> Column:
+    """UTF-8 bytes, which need no decoding in the Python workers."""
+    return F.coalesce(text_col, F.lit("")).cast("binary")
+
+
 @pandas_udf(StringType())
 def _node_of(text: pd.Series) -> pd.Series:
     sets = (shingles(words) for words in WordHasher().each(text))
@@ -161,7 +166,7 @@ def _node_of(text: pd.Series) -> pd.Series:
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``id``, ``n``, ``node``, ``bands``, ``sig``); NULL from ``node`` on if n is 0."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), _raw(text_col).alias("text"))
     schema = StructType([narrow.schema[0]]).add("n", "long").add("node", "string")
     schema = schema.add("bands", "binary").add("sig", "binary")
 
@@ -222,7 +227,7 @@ def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame, nums: DataFrame, id_col: str, text_col: str):
     """(``num``, ``items``) of the nodes in ``nums``, from the text of one document each."""
     wanted = written(nodes.select("num", "node", "least").join(nums, "num"), "wanted")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), _raw(text_col).alias("text"))
     ids = wanted.select(F.col("least").alias("id")).distinct()
     found = same(_sieved(texts, ids), ids, ["id"]).select("text")
 
@@ -346,7 +351,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays = decided.groupBy("root").agg(F.min(F.struct("id", "node")).alias("stays"))
     stays = stays.select(F.col("stays.id").alias(id_col), F.col("stays.node").alias("node"))
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    tagged = docs.select(id_col, _node_of(F.coalesce(text_col, F.lit(""))).alias("node"), row.alias("row"))
+    tagged = docs.select(id_col, _node_of(_raw(text_col)).alias("node"), row.alias("row"))
     found = same(tagged, stays, [id_col, "node"]).groupBy(id_col, "node").agg(F.first("row").alias("row"))
     found = found.select("row").unionByName(tagged.where("node IS NULL").select("row"))
     return found.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -7,7 +7,7 @@ running sums give for all words together, and mixes the sum with the length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -56,11 +56,13 @@ class WordHasher:
         found = (sums[ends] - sums[starts]) * self._down[starts]
         return starts, mix(found + (ends - starts).astype(np.uint64))
 
-    def each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def each(self, texts: Iterable[str | bytes | None]) -> Iterator[np.ndarray]:
         """The word hashes of each text, in order; NULL has none."""
         batch, size = [], 0
         for text in texts:
-            batch.append((text or "").encode("utf-8", "surrogatepass"))
+            if not isinstance(text, bytes):
+                text = (text or "").encode("utf-8", "surrogatepass")
+            batch.append(text)
             size += len(batch[-1]) + 1
             if size >= STEP:
                 yield from self._several(batch)
