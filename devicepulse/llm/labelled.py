@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from devicepulse.llm.shared import small_batches
+
 
 def remainder(id_col: str, parts: int) -> Column:
     """CRC-32 of the id as text, modulo ``parts``; NULL for a NULL id."""
@@ -74,6 +76,7 @@ def scored(
     docs: DataFrame, score: Callable[[list[str]], list[float]], id_col: str, text_col: str
 ) -> DataFrame:
     """(id, ``score``) for every row of ``docs``; ``score`` gets the texts of a batch."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = StructType([narrow.schema[0]]).add("score", "double")
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType, StructType
 
-from devicepulse.llm.shared import components, same, written
+from devicepulse.llm.shared import components, same, small_batches, written
 from devicepulse.llm.words import WordHasher, mix
 
 SHINGLE = 5
@@ -326,6 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = written(_signed(docs, id_col, text_col), "signed")
     nodes = rows.where("n > 0").groupBy("node")
     nodes = nodes.agg(

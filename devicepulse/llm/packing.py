@@ -34,7 +34,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
 
 from devicepulse.llm.perword import PerWord
-from devicepulse.llm.shared import ranked, written
+from devicepulse.llm.shared import ranked, small_batches, written
 
 END_ID = 1
 # Steps of the search for fillings of one sequence, and completions tried in all.
@@ -52,9 +52,18 @@ def _encoder(path: str) -> PerWord:
 
     tokenizer = Tokenizer.from_file(path)
 
+    def split(word: str) -> tuple[str, str]:
+        """A full stop or comma after a letter always starts a run of its own, unless
+        the letter becomes several characters in lower case."""
+        ends = word[-1:] in (".", ",") and word[-2:-1].isalpha()
+        return (word[:-1], word[-1]) if ends and len(word[-2].lower()) == 1 else (word, "")
+
     def ids(words: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        parts = [split(w) for w in words]
+        stems = list({p for pair in parts for p in pair})
+        found = tokenizer.encode_batch(stems, add_special_tokens=False)
+        known = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(stems, found)}
+        return [known[stem] + known[end] for stem, end in parts]
 
     return PerWord(ids)
 
@@ -64,6 +73,7 @@ def pieces(
 ) -> DataFrame:
     """Per piece: id of the document, number and start of the piece, its length and the
     CRC-32 of its ids."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["piece", "start", "length", "ids_crc32"]
     schema = StructType([narrow.schema[0]])
@@ -85,6 +95,7 @@ def pieces(
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, id_col, frame[id_col].iloc[owner].reset_index(drop=True))
             yield out
+        encoder.forget()
 
     return narrow.mapInPandas(batches, schema)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 # Words are what spaces and line ends separate; longer ones are not remembered.
 LONGEST = 64
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 # Characters of text whose words are looked up together.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 class PerWord:
@@ -29,6 +29,10 @@ class PerWord:
                 batch, size = [], 0
         yield from self._several(batch)
 
+    def forget(self) -> None:
+        """Give the memory back; a worker may live on idle."""
+        self.known.clear()
+
     def _several(self, batch: list[list[str]]) -> Iterator[list]:
         missing = list(set().union(*batch) - self.known.keys())
         if len(self.known) + len(missing) > REMEMBERED:

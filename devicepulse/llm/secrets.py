@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from devicepulse.llm.shared import written
+from devicepulse.llm.shared import small_batches, written
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(
@@ -226,6 +226,7 @@ def examples(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
             ]
             yield pd.DataFrame(rows, columns=["kind", "hash", "token"])
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.mapInPandas(batches, "kind string, hash long, token string")
     found = written(found, "tokens").distinct()
@@ -245,6 +246,7 @@ def find_secrets(
     docs: DataFrame, model: FormatModel, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Id and ``spans``, an array of (kind, start, end), of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     span = StructType().add("kind", "string").add("start", "long").add("end", "long")
     schema = StructType([narrow.schema[0]]).add("spans", ArrayType(span))

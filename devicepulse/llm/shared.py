@@ -29,6 +29,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send at most ``rows`` texts at once to a Python worker, unless the session already
+    asks for fewer: workers live on with the memory that their largest batch took."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def slices(spark: SparkSession) -> int:
     """How many salts to spread a hot key over: the shuffle's own partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from devicepulse.llm.perword import PerWord
+from devicepulse.llm.shared import small_batches
 
 WORD = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 ROOT, NOWHERE = 0, -1
@@ -117,6 +118,7 @@ def token_counts(
 ) -> DataFrame:
     """Id and ``n_tokens`` of every row of ``docs``; ``path`` names a vocabulary file
     that is installed on every machine."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = StructType([narrow.schema[0]]).add("n_tokens", "long")
 
@@ -125,6 +127,7 @@ def token_counts(
         for frame in frames:
             sums = [sum(values) for values in counter.each(frame["text"].tolist())]
             yield pd.DataFrame({id_col: frame[id_col], "n_tokens": pd.Series(sums, dtype="int64")})
+        counter.forget()
 
     return narrow.mapInPandas(batches, schema)
 

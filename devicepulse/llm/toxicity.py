@@ -30,6 +30,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from devicepulse.llm.labelled import logistic, remainder, sample, scored, squash
+from devicepulse.llm.shared import small_batches
 from devicepulse.llm.words import PUNCTUATION, WHITE, WordHasher, mix
 
 WINDOW = 16
@@ -169,6 +170,8 @@ def accepted(
 ) -> DataFrame:
     """The rows of ``docs`` with scores below ``cut``, with all their columns."""
 
+    small_batches(docs.sparkSession)
+
     @pandas_udf(BooleanType())
     def clean(text: pd.Series) -> pd.Series:
         return pd.Series([s < cut for s in model.score(text.tolist())], dtype=bool)

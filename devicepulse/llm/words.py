@@ -7,6 +7,7 @@ running sums give for all words together, and mixes the sum with the length.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import numpy as np
 WHITE = b" \t\n\x0b\x0c\r"
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 # Bytes of text that are hashed together; longer texts make a step of their own.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -29,6 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
@@ -41,19 +43,19 @@ class WordHasher:
     def __init__(self, separators: bytes = WHITE):
         self.inside = np.ones(256, dtype=bool)
         self.inside[list(separators)] = False
-        self._up = self._down = np.empty(0, np.uint64)
 
     def _hash(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of each word of ``data``."""
         raw = np.frombuffer(data, np.uint8)
-        if len(self._up) <= len(raw):
-            self._up, self._down = _powers(_BASE, len(raw) + 1), _powers(_INVERSE, len(raw) + 1)
+        # Rounded up, so that most steps share their powers.
+        room = 1 << max(len(raw), 2 * STEP).bit_length()
+        up, down = _powers(_BASE, room), _powers(_INVERSE, room)
         inside = self.inside[raw]
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         starts, ends = edges[::2], edges[1::2]
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTES[raw] * self._up[: len(raw)], out=sums[1:])
-        found = (sums[ends] - sums[starts]) * self._down[starts]
+        np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * down[starts]
         return starts, mix(found + (ends - starts).astype(np.uint64))
 
     def each(self, texts: Iterable[str | bytes | None]) -> Iterator[np.ndarray]:
