@@ -34,8 +34,8 @@ def to_double(c: Column, default: float | None = None) -> Column:
 
 
 def to_int(c: Column, default: int | None = None) -> Column:
-    """Text to int; ``default`` where it is not a whole number, as for ``"3.7"``."""
-    return F.coalesce(F.trim(c).try_cast("int"), F.lit(default).cast("int"))
+    """Text to a 64-bit integer; ``default`` where it is not a whole number, as for ``"3.7"``."""
+    return F.coalesce(F.trim(c).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def with_default(c: Column, default: object) -> Column:

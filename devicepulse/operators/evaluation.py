@@ -1,7 +1,8 @@
 """Binary classification metrics, per-class report and model choice.
 
-Rows with a NULL label are not evaluated. Every metric comes from counts that are
-combined before the shuffle, so the raw predictions are read once and not moved.
+Rows with a NULL label are not evaluated; a missing prediction counts as the wrong one of
+the two classes in every metric. Counts are combined before the shuffle; for the ROC-AUC
+there is one row per distinct score, which is shuffled and stored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ FAMILIES = [("xgb", "boost"), ("random",), ("logistic",)]
 
 
 def _cell_counts(label: str, pred: str) -> list[Column]:
-    actual, predicted = F.col(label) == 1, F.col(pred) == 1
+    actual = F.col(label) == 1
+    # A missing prediction is an error of its class.
+    predicted = F.when(known(F.col(pred)).isNull(), ~actual).otherwise(F.col(pred) == 1)
     hits = [actual & predicted, ~actual & predicted, actual & ~predicted, ~actual & ~predicted]
     return [F.count_if(hit).alias(name) for name, hit in zip(CELLS, hits)]
 
@@ -96,9 +99,10 @@ def leaderboard(df: DataFrame, model: str, label: str, pred: str, score: str) ->
 def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Precision, recall, F1 and support per class, followed by the accuracy (in
     ``f1``, with no precision or recall) and the macro and weighted averages."""
-    counts = df.groupBy(
-        F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("z")
-    ).agg(F.count(label).alias("n"))
+    y = F.col(label).cast("int")
+    wrong = F.when(y.isin(0, 1), 1 - y)
+    z = F.coalesce(known(F.col(pred)).cast("int"), wrong)
+    counts = df.groupBy(y.alias("y"), z.alias("z")).agg(F.count(label).alias("n"))
     # From here on one row per (label, prediction) pair, used for two results.
     pairs = bounded(counts).where("n > 0")
     sides = F.array(
@@ -108,6 +112,7 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     right = F.when(F.col("y") == F.col("z"), F.col("n")).otherwise(0)
     per_class = (
         pairs.select(F.explode(sides).alias("side"), "n", right.alias("right"))
+        .where("side.class IS NOT NULL")
         .groupBy("side.class")
         .agg(
             F.sum(F.col("right") * F.col("side.real")).alias("hit"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from devicepulse import schema as S
 from devicepulse.functions.rules import known
 
-MAX_LEVELS = 1_000
 
 
 def select_features(
@@ -48,25 +47,21 @@ def one_hot(
     """Add a 0/1 column per level of ``col`` but the first in alphabetical order
     (``drop=None`` keeps it). A value that was not fitted, NULL too, is an error.
 
-    Each level is a column, so more than MAX_LEVELS levels are refused; the ML
-    stages below make one sparse vector instead.
+    Each level is a column; for very many levels use the ML stages below, which make
+    one sparse vector instead.
     """
     source = df if fit_on is None else fit_on
-    found = source.where(F.col(col).isNotNull()).select(col).distinct().limit(MAX_LEVELS + 1)
+    found = source.where(F.col(col).isNotNull()).select(col).distinct()
     levels = sorted(row[0] for row in found.collect())
-    if len(levels) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
     fitted = F.coalesce(F.col(col).isin(levels), F.lit(False))
     shown = F.coalesce(F.col(col).cast("string"), F.lit("NULL"))
     message = F.concat(F.lit(f"unknown {col}: "), shown)
     kept = levels[1:] if drop == "first" else levels
-    return df.withColumns(
-        {
-            f"{col}_{level}": F.when(fitted, (F.col(col) == F.lit(level)).cast("int")).otherwise(
-                F.raise_error(message).cast("int")
-            )
-            for level in kept
-        }
+    wrong = F.raise_error(message).cast(df.schema[col].dataType)
+    # The column itself is checked, so that one fitted level refuses others as well.
+    checked = df.withColumn(col, F.when(fitted, F.col(col)).otherwise(wrong))
+    return checked.withColumns(
+        {f"{col}_{level}": (F.col(col) == F.lit(level)).cast("int") for level in kept}
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicepulse import schema as S
-from devicepulse.functions.rules import fires
+from devicepulse.functions.rules import fires, known
 from devicepulse.session import names
 from devicepulse.sources.requests import NO_MODEL
 
@@ -16,11 +16,11 @@ def fleet_summary(
 ) -> DataFrame:
     """Totals, health rate in percent and average readings, overall or per group.
 
-    An empty table gives zero counts and NULL rates. Works on a stream as well.
+    A NaN reading is missing. An empty table gives zero counts and NULL rates. Works on a stream as well.
     """
     total = F.count("*")
-    failed = F.coalesce(F.sum(S.LABEL), F.lit(0))
-    average = lambda c: F.round(F.avg(c), 2)
+    failed = F.coalesce(F.sum(F.nanvl(F.col(S.LABEL).cast("double"), F.lit(None)).cast("long")), F.lit(0))
+    average = lambda c: F.round(F.avg(known(F.col(c))), 2)
     return df.groupBy(*names(by)).agg(
         F.lit(True).alias("success"),
         total.alias("total_devices"),
@@ -59,6 +59,6 @@ def advisory_counts(
 
 
 def riskiest(df: DataFrame, score: str, key: str | list[str], k: int) -> DataFrame:
-    """The ``k`` rows with the highest score, ties by key."""
-    scored = df.where(F.col(score).isNotNull())
+    """The ``k`` rows with the highest score, ties by key; without missing scores."""
+    scored = df.where(known(F.col(score)).isNotNull())
     return scored.orderBy(F.desc(score), *names(key)).limit(k)

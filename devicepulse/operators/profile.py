@@ -59,8 +59,8 @@ def missing_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Rows per value, most frequent first and ties by value; NULL is not counted."""
-    counts = df.groupBy(col).agg(F.count(col).alias("n"))
+    """Rows per value, most frequent first and ties by value; NULL and NaN are not counted."""
+    counts = df.where(_present(df, col)).groupBy(col).agg(F.count(col).alias("n"))
     return counts.where("n > 0").orderBy(F.desc("n"), col)
 
 

@@ -24,7 +24,7 @@ MEASUREMENTS = [c for c in NUMERIC_FEATURES if c not in COUNTERS]
 TELEMETRY = T.StructType(
     [T.StructField(KEY, T.StringType()), T.StructField("Device_Type", T.StringType())]
     + [
-        T.StructField(c, T.IntegerType() if c in COUNTERS else T.DoubleType())
+        T.StructField(c, T.LongType() if c in COUNTERS else T.DoubleType())
         for c in NUMERIC_FEATURES
     ]
     + [T.StructField(LABEL, T.IntegerType())]
@@ -52,24 +52,9 @@ BANDS_SCHEMA = T.StructType(
     ]
 )
 BANDS = [
-    (
-        "LOW",
-        "#00e676",
-        "Healthy: every reading is within its operating limits.",
-        "No action needed.",
-    ),
-    (
-        "MEDIUM",
-        "#ffb300",
-        "Elevated risk: watch this device and run further diagnostics.",
-        "Keep this device under observation.",
-    ),
-    (
-        "HIGH",
-        "#ff1744",
-        "Failure is likely: plan maintenance, a restart or a failover now.",
-        "Schedule preventive maintenance.",
-    ),
+    ("LOW", "#00e676", f"probability below {LOW_BELOW}", "none"),
+    ("MEDIUM", "#ffb300", f"probability from {LOW_BELOW}, below {HIGH_FROM}", "monitor"),
+    ("HIGH", "#ff1744", f"probability from {HIGH_FROM}", "service"),
 ]
 
 # Advisory rules (key, column, limit), in reporting order; a rule
@@ -84,16 +69,8 @@ ADVISORY_RULES = [
     ("uptime", "Uptime", 365.0),
 ]
 NO_ADVISORY = "none"
-ADVISORY_TEXTS = {
-    "cpu": "Processor load is critical: shed load, tune routing or add capacity.",
-    "mem": "Memory is almost used up: look for leaks and runaway processes.",
-    "temp": "The chassis is hot: clean the vents, check the fans, cool the room.",
-    "iface": "Many interface errors: inspect cables and optics.",
-    "loss": "Heavy packet loss: look for congestion, queueing or a duplex mismatch.",
-    "log": "The device logs too many errors: read its console for hardware or access faults.",
-    "uptime": "Running for more than a year: plan a maintenance restart.",
-    NO_ADVISORY: "No anomaly found: all readings are in their normal range.",
-}
+ADVISORY_TEXTS = {key: f"{column} above {limit:g}" for key, column, limit in ADVISORY_RULES}
+ADVISORY_TEXTS[NO_ADVISORY] = "no reading above its limit"
 
 # Accepted input ranges (inclusive; None is open) and device types.
 INPUT_RANGES = {

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import operator
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +40,13 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster it
-    would vanish with the machine it is on.
+    Where it is unset, a folder in the warehouse is used, which is shared as well.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="devicepulse-checkpoint-")
-    sc.setCheckpointDir(shared)
+    sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def stored(df: DataFrame) -> DataFrame:

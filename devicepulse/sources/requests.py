@@ -49,7 +49,7 @@ def decode_requests(df: DataFrame, col: str = "request") -> DataFrame:
             text = F.try_variant_get(value, "$", "string")
             filled = normalize_type(F.when(value.isNull(), default).otherwise(text))
         else:
-            kind = "int" if name in S.COUNTERS else "double"
+            kind = "bigint" if name in S.COUNTERS else "double"
             number = F.try_variant_get(value, "$", kind)
             number = known(number) if kind == "double" else number
             filled = F.when(value.isNull(), default.cast(kind)).otherwise(number)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,12 +27,21 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """``value`` as ``kind``, or NULL. A whole number may be written with a point, as
+    other tools do once a cell of its column is missing; 3.7 is no whole number."""
+    if isinstance(kind, T.IntegralType):
+        number = value.try_cast("decimal(38,6)")
+        return F.when(number == F.floor(number), F.floor(number)).try_cast(kind)
+    return value.try_cast(kind)
+
+
 def _typed_cells(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast text cells, with a reason for each cell that is not of its type."""
     typed, bad = [], []
     for field in schema:
         cell = F.when(~F.col(field.name).isin(MISSING_CELLS), F.col(field.name))
-        value = cell.try_cast(field.dataType)
+        value = _typed(cell, field.dataType)
         typed.append(value.alias(field.name))
         bad.append(F.when(cell.isNotNull() & value.isNull(), F.lit(f"unreadable:{field.name}")))
     bad.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_row")))
@@ -50,8 +59,8 @@ def read_telemetry(
 
     CSV columns are found by the names in the header, which must be the same in all
     files; other columns are ignored. NaN and the usual spellings of a missing cell
-    become NULL, as does a CSV cell of the wrong type; with ``keep_errors`` the
-    column ``read_errors`` says which.
+    become NULL, as does a cell of the wrong type; with ``keep_errors`` the column
+    ``read_errors`` says which. Files with types are read with their own and cast.
     """
     try:
         if fmt == "csv":
@@ -69,9 +78,20 @@ def read_telemetry(
                 .csv(path)
             )
             df = _typed_cells(raw, schema)
-        elif fmt in ("json", "parquet", "orc"):
-            df = spark.read.schema(schema).format(fmt).load(path)
-            df = df.withColumn("read_errors", F.array().cast("array<string>"))
+        elif fmt == "json":
+            cells = T.StructType([T.StructField(c, T.StringType()) for c in schema.fieldNames()])
+            raw = spark.read.schema(cells.add(CORRUPT, "string")).json(
+                path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+            )
+            df = _typed_cells(raw, schema)
+        elif fmt in ("parquet", "orc"):
+            raw = nan_to_null(spark.read.format(fmt).load(path))
+            absent = {c: F.lit(None).cast("string") for c in schema.fieldNames() if c not in raw.columns}
+            texts = raw.withColumns(absent).select(
+                *[F.col(c).cast("string").alias(c) for c in schema.fieldNames()],
+                F.lit(None).cast("string").alias(CORRUPT),
+            )
+            df = _typed_cells(texts, schema)
         else:
             raise ValueError(f"unknown format: {fmt}")
     except AnalysisException as error:

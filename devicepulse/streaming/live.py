@@ -38,8 +38,8 @@ def fleet_summary_stream(
 def start(
     df: DataFrame,
     checkpoint: str,
+    fmt: str,
     mode: str = "append",
-    fmt: str = "memory",
     once: bool = False,
     **options: str,
 ) -> StreamingQuery:

@@ -20,7 +20,7 @@ def streamed(spark, df, tmp_path, files=3):
 
 
 def results(spark, df, tmp_path, name, mode="append"):
-    query = live.start(df, str(tmp_path / "checkpoint"), mode, once=True, queryName=name)
+    query = live.start(df, str(tmp_path / "checkpoint"), "memory", mode, once=True, queryName=name)
     query.awaitTermination(180)
     assert query.exception() is None and not query.isActive
     return spark.table(name)
