@@ -95,7 +95,6 @@ def pieces(
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, id_col, frame[id_col].iloc[owner].reset_index(drop=True))
             yield out
-        encoder.forget()
 
     return narrow.mapInPandas(batches, schema)
 

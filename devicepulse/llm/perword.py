@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 # Words are what spaces and line ends separate; longer ones are not remembered.
 LONGEST = 64
-REMEMBERED = 300_000
+# So many words, and as many of an older generation, take some 60 MB.
+REMEMBERED = 150_000
 # Characters of text whose words are looked up together.
 STEP = 1 << 18
 
@@ -17,6 +18,7 @@ class PerWord:
     def __init__(self, function: Callable[[list[str]], list]):
         self.function = function
         self.known: dict = {}
+        self.older: dict = {}
 
     def each(self, texts: list[str]) -> Iterator[list]:
         """The values of the words of each text, in order."""
@@ -29,19 +31,19 @@ class PerWord:
                 batch, size = [], 0
         yield from self._several(batch)
 
-    def forget(self) -> None:
-        """Give the memory back; a worker may live on idle."""
-        self.known.clear()
-
     def _several(self, batch: list[list[str]]) -> Iterator[list]:
-        missing = list(set().union(*batch) - self.known.keys())
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list(set().union(*batch))
+        words = set().union(*batch)
+        if len(self.known) > REMEMBERED:
+            # Words that are met again move on, the others are forgotten in time.
+            self.known, self.older = {}, self.known
+        missing = words - self.known.keys()
+        again = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(missing - again)
+        self.known.update(zip(new, self.function(new)))
         values = self.known
-        values.update(zip(missing, self.function(missing)))
         for words in batch:
             yield [values[w] for w in words]
-        for word in missing:
+        for word in new:
             if len(word) > LONGEST:
                 del values[word]

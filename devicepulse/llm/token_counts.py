@@ -127,7 +127,6 @@ def token_counts(
         for frame in frames:
             sums = [sum(values) for values in counter.each(frame["text"].tolist())]
             yield pd.DataFrame({id_col: frame[id_col], "n_tokens": pd.Series(sums, dtype="int64")})
-        counter.forget()
 
     return narrow.mapInPandas(batches, schema)
 
