@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
 
-from devicepulse.llm.perword import PerWord
+from devicepulse.llm.perword import REMEMBERED, PerWord
 from devicepulse.llm.shared import ranked, small_batches, written
 
 END_ID = 1
@@ -43,7 +43,7 @@ BRANCHES = 20_000
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> PerWord:
+def _encoder(path: str, remembered: int) -> PerWord:
     """Ids per word as little-endian bytes. Nothing in the tokenizer's rules reaches
     across a space, so the ids of a text are those of its words in a row. Kept by a
     Python worker for all its tasks."""
@@ -52,24 +52,20 @@ def _encoder(path: str) -> PerWord:
 
     tokenizer = Tokenizer.from_file(path)
 
-    def split(word: str) -> tuple[str, str]:
-        """A full stop or comma after a letter always starts a run of its own, unless
-        the letter becomes several characters in lower case."""
-        ends = word[-1:] in (".", ",") and word[-2:-1].isalpha()
-        return (word[:-1], word[-1]) if ends and len(word[-2].lower()) == 1 else (word, "")
-
     def ids(words: list[str]) -> list[bytes]:
-        parts = [split(w) for w in words]
-        stems = list({p for pair in parts for p in pair})
-        found = tokenizer.encode_batch(stems, add_special_tokens=False)
-        known = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(stems, found)}
-        return [known[stem] + known[end] for stem, end in parts]
+        found = tokenizer.encode_batch(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    return PerWord(ids)
+    return PerWord(ids, remembered)
 
 
 def pieces(
-    docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    capacity: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Per piece: id of the document, number and start of the piece, its length and the
     CRC-32 of its ids."""
@@ -83,7 +79,7 @@ def pieces(
     width = 4 * capacity
 
     def batches(frames):
-        encoder = _encoder(path)
+        encoder = _encoder(path, remembered)
         for frame in frames:
             rows, owner = [], []
             for place, parts in enumerate(encoder.each(frame["text"].tolist())):
@@ -293,10 +289,13 @@ def pack_documents(
     capacity: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """All pieces of ``docs`` with their places; ``path`` names a tokenizer file that is
-    installed on every machine."""
-    made = written(pieces(docs, path, capacity, id_col, text_col), "pieces")
+    installed on every machine. A Python worker keeps the ids of up to twice
+    ``remembered`` words: fewer take less memory and more time."""
+    made = pieces(docs, path, capacity, id_col, text_col, remembered)
+    made = written(made, "pieces")
     return pack(made, capacity, [id_col, "piece"])
 
 

@@ -6,17 +6,17 @@ from collections.abc import Callable, Iterator
 
 # Words are what spaces and line ends separate; longer ones are not remembered.
 LONGEST = 64
-# So many words, and as many of an older generation, take some 60 MB.
-REMEMBERED = 150_000
+# So many words, and as many of an older generation, take some 200 MB.
+REMEMBERED = 500_000
 # Characters of text whose words are looked up together.
-STEP = 1 << 18
+STEP = 1 << 20
 
 
 class PerWord:
     """``function`` gets a list of distinct words and returns a value for each."""
 
-    def __init__(self, function: Callable[[list[str]], list]):
-        self.function = function
+    def __init__(self, function: Callable[[list[str]], list], remembered: int = REMEMBERED):
+        self.function, self.remembered = function, remembered
         self.known: dict = {}
         self.older: dict = {}
 
@@ -33,7 +33,7 @@ class PerWord:
 
     def _several(self, batch: list[list[str]]) -> Iterator[list]:
         words = set().union(*batch)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             # Words that are met again move on, the others are forgotten in time.
             self.known, self.older = {}, self.known
         missing = words - self.known.keys()
