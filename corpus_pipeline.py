@@ -15,6 +15,8 @@ from devicepulse.llm.shared import written
 TOKENIZER = "word_bpe_49k.json"
 MAX_REPEATS = 2.0
 CAPACITY = 4096
+# Words kept per worker: few, as the workers of earlier stages live on.
+REMEMBERED = 150_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), CAPACITY)
+    return packing.pack_documents(
+        docs, public_tokenizers.path(TOKENIZER), CAPACITY, remembered=REMEMBERED
+    )
 
 
 STAGES = [
