@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from devicepulse.functions.rules import known
 from devicepulse.operators.ranks import running_totals
-from devicepulse.session import bounded, names
+from devicepulse.session import kept, names
 from devicepulse.sources.errors import NoModelChosen
 
 CELLS = ["tp", "fp", "fn", "tn"]
@@ -96,24 +96,28 @@ def leaderboard(df: DataFrame, model: str, label: str, pred: str, score: str) ->
     return totals.select(model, *_metrics(), "roc_auc")
 
 
-def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
+def classification_report(
+    df: DataFrame, label: str, pred: str, by: str | list[str] | None = None
+) -> DataFrame:
     """Precision, recall, F1 and support per class, followed by the accuracy (in
-    ``f1``, with no precision or recall) and the macro and weighted averages."""
+    ``f1``, with no precision or recall) and the macro and weighted averages; one such
+    report per group of ``by``."""
+    by = names(by)
     y = F.col(label).cast("int")
     wrong = F.when(y.isin(0, 1), 1 - y)
     z = F.coalesce(known(F.col(pred)).cast("int"), wrong)
-    counts = df.groupBy(y.alias("y"), z.alias("z")).agg(F.count(label).alias("n"))
+    counts = df.groupBy(*by, y.alias("y"), z.alias("z")).agg(F.count(label).alias("n"))
     # From here on one row per (label, prediction) pair, used for two results.
-    pairs = bounded(counts).where("n > 0")
+    pairs = kept(counts).where("n > 0")
     sides = F.array(
         F.struct(F.col("y").alias("class"), F.lit(1).alias("real"), F.lit(0).alias("said")),
         F.struct(F.col("z").alias("class"), F.lit(0).alias("real"), F.lit(1).alias("said")),
     )
     right = F.when(F.col("y") == F.col("z"), F.col("n")).otherwise(0)
     per_class = (
-        pairs.select(F.explode(sides).alias("side"), "n", right.alias("right"))
+        pairs.select(*by, F.explode(sides).alias("side"), "n", right.alias("right"))
         .where("side.class IS NOT NULL")
-        .groupBy("side.class")
+        .groupBy(*by, "side.class")
         .agg(
             F.sum(F.col("right") * F.col("side.real")).alias("hit"),
             F.sum(F.col("n") * F.col("side.real")).alias("support"),
@@ -123,6 +127,7 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     hit, support, claimed = F.col("hit"), F.col("support"), F.col("claimed")
     scores = ["precision", "recall", "f1"]
     rows = per_class.select(
+        *by,
         F.col("class").cast("string").alias("class"),
         _ratio(hit, claimed).alias("precision"),
         _ratio(hit, support).alias("recall"),
@@ -131,7 +136,7 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
         "hit",
     )
     none = F.lit(None).cast("double")
-    averages = rows.agg(
+    averages = rows.groupBy(*by).agg(
         F.array(
             F.struct(
                 F.lit("accuracy").alias("class"),
@@ -155,7 +160,7 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
             ),
         ).alias("averages")
     )
-    return rows.drop("hit").unionByName(averages.select(F.inline("averages")))
+    return rows.drop("hit").unionByName(averages.select(*by, F.inline("averages")))
 
 
 def best_model(board: DataFrame, metric: str = "f1", order: list[str] = ()) -> DataFrame:

@@ -66,13 +66,17 @@ def one_hot(
 
 
 def feature_stages(
-    numeric: list[str] = S.NUMERIC_FEATURES, categorical: list[str] = S.CATEGORICAL_FEATURES
+    numeric: list[str] = S.NUMERIC_FEATURES,
+    categorical: list[str] = S.CATEGORICAL_FEATURES,
+    one_level: list[str] = (),
 ) -> list:
     """Spark ML stages for a ``features`` vector: scaled numbers, then indicators.
 
     The scaler divides by the sample deviation, ``standardize`` by the population
     one; with n rows they differ by sqrt(n / (n - 1)). Missing values and unknown
-    levels are errors: set such rows aside with ``validate`` first.
+    levels are errors: set such rows aside with ``validate`` first. A column of
+    ``one_level`` has a single level; it stays as its index, which is 0, because the
+    encoder needs two levels and an unused index would not refuse unknown ones.
     """
     stages = [
         VectorAssembler(inputCols=numeric, outputCol="_numbers", handleInvalid="error"),
@@ -86,16 +90,25 @@ def feature_stages(
                 outputCol=f"_{c}_index",
                 stringOrderType="alphabetDesc",
                 handleInvalid="error",
-            ),
-            OneHotEncoder(inputCol=f"_{c}_index", outputCol=f"_{c}_flags", dropLast=True),
+            )
         ]
-    flags = [f"_{c}_flags" for c in categorical]
+        if c not in one_level:
+            stages.append(
+                OneHotEncoder(inputCol=f"_{c}_index", outputCol=f"_{c}_flags", dropLast=True)
+            )
+    flags = [f"_{c}_{'index' if c in one_level else 'flags'}" for c in categorical]
     return [*stages, VectorAssembler(inputCols=["_scaled", *flags], outputCol="features")]
 
 
-def fit_features(train: DataFrame, **columns) -> PipelineModel:
+def fit_features(
+    train: DataFrame,
+    numeric: list[str] = S.NUMERIC_FEATURES,
+    categorical: list[str] = S.CATEGORICAL_FEATURES,
+) -> PipelineModel:
     """Fit the feature stages on training rows only."""
-    return Pipeline(stages=feature_stages(**columns)).fit(train)
+    ends = train.agg(*[(F.min(c) == F.max(c)).alias(c) for c in categorical]).first()
+    one_level = [c for c in categorical if ends[c]]
+    return Pipeline(stages=feature_stages(numeric, categorical, one_level)).fit(train)
 
 
 def linear_score(cols: list[str], coefs: list[float], intercept: float) -> Column:

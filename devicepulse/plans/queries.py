@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from devicepulse.operators import (
     training,
 )
 from devicepulse.plans.readings import DIRTY, REQUEST, readings, table
+from devicepulse.session import match
 from devicepulse.sources import requests
 from devicepulse.streaming.debounce import debounce as keep_last
 
@@ -28,6 +31,9 @@ from devicepulse.streaming.debounce import debounce as keep_last
 RULE_MODELS = {"logistic rule": 0.60, "random rule": 0.65, "boosted rule": 0.70}
 LINEAR = dict(zip(S.NUMERIC_FEATURES, [2.5, 1.75, 1.5, 0.0, 1.25, 1.0, 0.75, 0.5]))
 LINEAR_INTERCEPT = -3.0
+# Labelled rows that the registered training queries fit on at most.
+MAX_FIT_ROWS = 20_000
+F1_FLOOR, AUC_FLOOR = 0.4, 0.85
 LINEITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -274,6 +280,12 @@ def classification_report(spark, sf):
     return _rounded(out, "precision", "recall", "f1")
 
 
+def classification_report_by_model(spark, sf):
+    rows = _predictions(spark, sf)
+    out = evaluation.classification_report(rows, "label", "prediction", ["model"])
+    return _rounded(out, "precision", "recall", "f1")
+
+
 def _board(spark, sf):
     rows = _predictions(spark, sf)
     board = evaluation.leaderboard(rows, "model", "label", "prediction", "probability")
@@ -285,7 +297,7 @@ def leaderboard(spark, sf):
 
 
 def leaderboard_status(spark, sf):
-    board = evaluation.mark_active(_board(spark, sf), "Random Forest Classifier")
+    board = evaluation.mark_active(binary_metrics(spark, sf), "Random Forest Classifier")
     return board.select("model", "f1", "status")
 
 
@@ -413,25 +425,50 @@ def box_stats_events(spark, sf):
     return _boxes(table(spark, sf, "events"), "event_type", ["value"])
 
 
-def train_compare(spark, sf):
+def trained(spark, sf):
+    """(hold-out rows, models, leaderboard) of the full candidates over the telemetry."""
     train, test = split.stratified_split(readings(spark, sf), "Reading_ID", "Failed")
-    _, board = training.train_candidates(train, test, preset="small")
-    best = training.best_model_name(board, order=board_order())
-    return board.withColumn("best", F.col("model") == best)
+    models, board = training.train_candidates(train, test, max_fit_rows=MAX_FIT_ROWS)
+    return test, models, board
+
+
+def train_compare(spark, sf):
+    """Per candidate the size of its hold-out and whether it reaches the floors."""
+    test, models, board = trained(spark, sf)
+    scored = [
+        scoring.score_fleet(test, model).select(F.lit(name).alias("model"), "Failed", "prediction")
+        for name, model in models.items()
+    ]
+    predictions = functools.reduce(DataFrame.unionByName, scored)
+    cells = evaluation.confusion(predictions, "Failed", "prediction", ["model"])
+    total = functools.reduce(operator.add, [F.col(c) for c in evaluation.CELLS])
+    reached = (F.col("f1") >= F1_FLOOR) & (F.col("roc_auc") >= AUC_FLOOR)
+    return match(cells, board, ["model"]).select(
+        "model",
+        total.alias("n"),
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        reached.alias("reaches_floors"),
+    )
 
 
-def board_order() -> list[str]:
-    return list(training.candidates(1, "small"))
+def scored_fleet(spark, sf) -> DataFrame:
+    """All valid readings, scored with the candidate that is best on the hold-out."""
+    _, models, board = trained(spark, sf)
+    _, model = training.choose_model(models, board)
+    valid, _ = quality.validate(readings(spark, sf))
+    return scoring.score_fleet(valid, model)
 
 
 def fleet_scoring(spark, sf):
-    rows = readings(spark, sf)
-    train, test = split.stratified_split(rows, "Reading_ID", "Failed")
-    first = "Logistic Regression"
-    estimator = training.candidates(train.count(), "small")[first]
-    models, _ = training.train_candidates(train, test, {first: estimator})
-    valid, _ = quality.validate(rows)
-    return scoring.score_fleet(valid, models[first])
+    """Per reading its advisories, and whether band and class agree with the probability."""
+    p = F.col("probability")
+    band = F.when(p >= S.HIGH_FROM, "HIGH").when(p >= S.LOW_BELOW, "MEDIUM").otherwise("LOW")
+    return scored_fleet(spark, sf).select(
+        "Reading_ID",
+        F.array_join("advisory", "|").alias("advisory"),
+        (F.col("risk") == band).alias("band_agrees"),
+        ((p > 0.5) == (F.col("prediction") == 1)).alias("class_agrees"),
+    )
 
 
 REGISTERED = [
@@ -441,7 +478,7 @@ REGISTERED = [
     device_ids, head, riskiest_devices, shape, missing_counts, column_info, describe,
     failure_distribution, type_breakdown, correlation_matrix, box_stats_cpu, box_stats_memory,
     box_stats_temperature, box_outliers, confusion, binary_metrics, roc_auc,
-    classification_report, leaderboard, leaderboard_status, best_model, stratified_split,
+    classification_report, classification_report_by_model, leaderboard, leaderboard_status, best_model, stratified_split,
     split_counts, split_counts_labels, class_weights, class_weights_labels, standardized,
     one_hot, linear_score, rule_scoring, encode_responses, fleet_summary_json, sql_functions,
     debounce, describe_lineitem, missing_counts_lineitem, value_counts_events,

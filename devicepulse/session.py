@@ -56,17 +56,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """``df`` as a local relation if it has at most ``limit`` rows, else stored.
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cached on the executors, spilling to disk.
 
-    Use it on the small side of a join. A local relation has an exact size, so
-    Spark broadcasts it without a hint and does not shuffle the other side; a
-    side over the limit takes an ordinary shuffled join.
+    Use it for an aggregate that is read more than once or joined with. A cached
+    relation has an exact size in bytes, so Spark's own threshold decides between a
+    broadcast and a shuffled join. Blocks of lost executors are computed again.
     """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return stored(df)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    df = df.persist()
+    df.count()
+    return df
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from devicepulse import schema as S
 from devicepulse.operators import features, quality, split
-from devicepulse.session import bounded, match
+from devicepulse.session import kept, match
 from devicepulse.sources.telemetry import device_rows
 
 
@@ -61,12 +61,44 @@ def test_balanced_weights(spark):
     assert weights == {0: 8 / (2 * 6), 1: 8 / (2 * 2), None: None}
 
 
-def test_bounded_side_is_a_local_relation_only_within_its_limit(spark):
-    small = spark.range(20).groupBy("id").count()
-    inside = bounded(small, 20)._jdf.queryExecution().optimizedPlan().toString()
-    beyond = bounded(small, 19)._jdf.queryExecution().optimizedPlan().toString()
-    assert "LocalRelation" in inside and "LocalRelation" not in beyond
-    assert bounded(small, 19).count() == 20
+def test_kept_side_is_broadcast_by_its_size_alone(spark):
+    left = spark.range(200).withColumn("k", F.col("id") % 20)
+    small = kept(left.groupBy("k").agg(F.count("*").alias("n")))
+    plan = match(left, small, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("groups", [1, 10_001, 100_001])
+def test_kept_sides_of_any_size_match_alike(spark, groups):
+    df = spark.range(groups).withColumn("y", F.col("id"))
+    rows = split.balanced_weights(df, "y")
+    assert rows.where("class_weight = 1").count() == groups
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("hot", ["7", None])
+def test_split_is_exact_with_a_hot_key(spark, seed, hot):
+    rows = [(hot if i % 5 < 3 else str(i), i, int(i % 4 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, i int, y int")
+    counts = split.split_counts(df, "k", "y", seed=seed).collect()
+    assert {r.y: (r.n_train, r.n_test) for r in counts} == {0: (600, 150), 1: (200, 50)}
+    sides = split.mark_test(df, "k", "y", seed=seed, together=True)
+    mixed = sides.groupBy("k", "y").agg(F.count_distinct(split.TEST).alias("n")).where("n > 1")
+    assert mixed.isEmpty()
+
+
+def test_split_tells_null_places_apart(spark):
+    df = spark.createDataFrame([("a", None, 1), (None, "a", 1)] * 1, "k string, l string, y int")
+    assert split.split_counts(df, ["k", "l"], "y", test_size=0.5).first().n_test == 1
+
+
+def test_one_device_type_can_be_fitted_and_others_are_refused(spark):
+    df = device_rows(spark, [{"CPU_Usage": float(i), "Device_Type": "Router"} for i in range(4)])
+    model = features.fit_features(df)
+    assert [len(r.features) for r in model.transform(df).collect()] == [9] * 4
+    other = device_rows(spark, [{"Device_Type": "Switch"}])
+    with pytest.raises(Py4JJavaError, match="Unseen label: Switch"):
+        model.transform(other).select("features").collect()
 
 
 def test_standardize_uses_the_population_deviation(spark):
@@ -140,9 +172,8 @@ def test_validation(spark):
     assert quality.validate(df, own)[1].count() == 2
 
 
-def test_large_side_is_stored_and_still_matches(spark):
+def test_kept_side_matches_null_keys(spark):
     left = spark.range(50).withColumn("k", F.when(F.col("id") % 5 > 0, F.col("id") % 5))
     right = left.groupBy("k").agg(F.count("*").alias("n"))
-    for limit in (10, 2):
-        joined = match(left, bounded(right, limit), ["k"]).collect()
-        assert len(joined) == 50 and {r.n for r in joined} == {10}
+    joined = match(left, kept(right), ["k"]).collect()
+    assert len(joined) == 50 and {r.n for r in joined} == {10}
