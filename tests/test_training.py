@@ -22,7 +22,7 @@ def trained(sides):
     return training.train_candidates(*sides, preset="small")
 
 
-def test_full_preset_values():
+def test_full_preset_values(spark):
     full = training.candidates(8000)
     assert list(full) == ["Logistic Regression", "Random Forest", "Gradient Boosted Trees"]
     logistic, forest, boosted = full.values()
