@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from devicepulse.functions.rules import known
-from devicepulse.operators.ranks import melt, quantiles, sketch
-from devicepulse.session import kept, match
+from devicepulse.operators.ranks import (
+    at_ranks,
+    bracketed,
+    melt,
+    quantiles,
+    sketch_size,
+    sketches,
+)
+from devicepulse.session import local_table, match
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 
@@ -69,31 +76,20 @@ def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> Dat
 
     Quartiles are exact, with linear interpolation, and take a second scan. With
     ``accuracy`` there is only one, and they are values of the column whose rank is
-    off by at most rows/accuracy.
+    off by rows/accuracy or less, with 99 % confidence.
     """
-    numbers = df.select(*[known(F.col(c)).alias(c) for c in cols])
-
-    def summary(c):
-        if accuracy:
-            ranks = F.percentile_approx(c, list(QUARTILES.values()), accuracy)
-            quartiles = [ranks[i].alias(name) for i, name in enumerate(QUARTILES)]
-        else:
-            quartiles = sketch(c, QUARTILES)
-        return F.struct(
-            F.lit(c).alias("column"),
-            F.count(c).alias("count"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).alias("min"),
-            F.max(c).alias("max"),
-            *quartiles,
-        )
-
-    wide = numbers.agg(F.array(*[summary(c) for c in cols]).alias("parts"))
-    out = wide.select(F.inline("parts"))
-    if not accuracy:
-        out = kept(out)
-        out = match(out, quantiles(df, cols, QUARTILES, sketches=out), ["column"])
+    if accuracy:
+        out = sketches(df, cols, size=sketch_size(1 / accuracy))
+        out = out.withColumn("_at", at_ranks(list(QUARTILES.values())))
+        out = out.withColumns({q: F.get("_at", F.lit(i)) for i, q in enumerate(QUARTILES)})
+    else:
+        out = bracketed(sketches(df, cols), QUARTILES)
+        out = match(out, quantiles(df, cols, QUARTILES, sketched=out), ["column"])
+    # A table without rows still has a row per column here.
+    named = T.StructType([T.StructField("column", T.StringType())])
+    every = local_table(df.sparkSession, [(c,) for c in cols], named)
+    out = match(every, out, ["column"])
+    out = out.withColumn("count", F.coalesce("n", F.lit(0)))
     return out.select("column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 

@@ -6,9 +6,10 @@ combines before the shuffle, so a value shared by a third of all rows is one row
 Those rows are range-partitioned by value and stored. Each slice then sums its own
 rows, and the totals of the slices before it, one row per slice, are added.
 
-Quantiles first take a sketch, which says between which values each of them must
+Quantiles first take sketches, which say between which values each of them must
 lie. Only values between those are told apart; all others are merely counted. So
 two scans and a small shuffle are enough, however many distinct values there are.
+The sketches of the scan tasks are merged in two steps, so no task meets all of them.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from devicepulse.functions.rules import known
 from devicepulse.session import kept, match, names, stored
 
-# The sketch is off by at most rows / ACCURACY ranks; brackets leave twice that. More
-# accuracy means fewer values to rank but larger sketches to merge in one task.
-ACCURACY = 2_000
-MARGIN = 2 / ACCURACY
+# Size parameter of a sketch. A larger one means fewer values to rank but more bytes to
+# shuffle: about 100 KB per scan task and column with this one.
+SIZE = 4_000
+# Brackets reach over the narrowest of these shares of the rows, to both sides, that is
+# SAFETY times the error of the sketch and two ranks more.
+SAFETY = 3
+WIDTHS = [0.005 * 2**i for i in range(9)]
 
 
 def running_totals(
@@ -72,31 +76,97 @@ def melt(df: DataFrame, cols: list[str], by: str | list[str] | None = None) -> D
     return numbers.unpivot(names(by), cols, "column", "value").where("value IS NOT NULL")
 
 
-def sketch(value: Column | str, probabilities: dict[str, float]) -> list[Column]:
-    """Aggregates ``n`` and ``edges``: two values per quantile that it lies between."""
-    edges = [
-        edge
-        for p in probabilities.values()
-        for edge in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))
-    ]
-    return [
-        F.count(value).alias("n"),
-        F.percentile_approx(value, edges, ACCURACY).alias("edges"),
+def rank_error(size: int) -> float:
+    """Share of the rows by which ranks from a KLL sketch are off, with 99 % confidence."""
+    return 2.296 / size**0.9021
+
+
+def sketch_size(error: float) -> int:
+    """The size of a sketch with this ``rank_error``, within what the sketches allow."""
+    return min(max(math.ceil((2.296 / error) ** (1 / 0.9021)), 8), 65_535)
+
+
+def sketches(
+    df: DataFrame, cols: list[str], by: str | list[str] | None = None, size: int = SIZE
+) -> DataFrame:
+    """One row per group and column: ``n``, ``mean``, sample deviation ``std``, ``min``,
+    ``max`` and a KLL ``sketch`` of the values that are there.
+
+    One scan. Each of as many slots as the shuffle has partitions first combines the
+    sketches of its share of the scan tasks; a group then merges one row per slot.
+    """
+    by = names(by)
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = df.select(
+        *by,
+        *[known(F.col(c)).alias(c) for c in cols],
+        F.pmod(F.spark_partition_id(), F.lit(slots)).alias("_slot"),
+    )
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(c).alias("n"),
+            F.avg(c).alias("mean"),
+            F.var_pop(c).alias("var"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
+            F.kll_sketch_agg_double(c, size).alias("sketch"),
+        )
+        for c in cols
     ]
+    per_slot = numbers.groupBy(*by, "_slot").agg(F.array(*parts).alias("parts"))
+    per_slot = per_slot.select(*by, F.inline("parts"))
+    there = F.when(F.col("n") > 0, F.struct("n", "mean", "var"))
+    merged = per_slot.groupBy(*by, "column").agg(
+        F.sum("n").alias("n"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.kll_merge_agg_double("sketch", size).alias("sketch"),
+        F.collect_list(there).alias("parts"),  # at most one per slot
+    )
+
+    def total(of):
+        return F.aggregate("parts", F.lit(0.0), lambda so_far, part: so_far + part["n"] * of(part))
+
+    merged = merged.withColumn("mean", F.try_divide(total(lambda part: part["mean"]), F.col("n")))
+    spread = total(lambda part: part["var"] + F.pow(part["mean"] - F.col("mean"), F.lit(2)))
+    std = F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1)))
+    return merged.select(*by, "column", "n", "mean", std.alias("std"), "min", "max", "sketch")
+
 
+def at_ranks(ranks: list[float]) -> Column:
+    """The values of ``sketch`` at these shares of the rows; NULL without values."""
+    values = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(r) for r in ranks]))
+    return F.when(F.col("n") > 0, values)
 
-def _brackets(sketches: DataFrame, keys: list[str], how_many: int) -> DataFrame:
-    """Columns ``_low0, _high0, _low1, …`` per key; open where there are few rows."""
-    few = F.col("n") <= 10 * ACCURACY
 
-    def edge(place, limit):
-        return F.when(few, F.lit(limit)).otherwise(F.get("edges", F.lit(place)))
+def bracketed(sketched: DataFrame, probabilities: dict[str, float], size: int = SIZE) -> DataFrame:
+    """What ``sketches`` returns with ``edges`` for the sketch: two values per quantile
+    that it lies between. Stored, as a sketch made again may differ."""
+    ranks = [
+        min(max(p + side * width, 0.0), 1.0)
+        for p in probabilities.values()
+        for side in (-1, 1)
+        for width in WIDTHS
+    ]
+    need = F.lit(SAFETY * rank_error(size)) + F.lit(2.0) / F.greatest("n", F.lit(1))
+    level = F.ceil(F.log2(need / F.lit(WIDTHS[0]))).cast("int")
+    level = F.least(F.greatest(level, F.lit(0)), F.lit(len(WIDTHS) - 1))
+    points = sketched.withColumns({"_points": at_ranks(ranks), "_level": level}).drop("sketch")
+    edges = [
+        F.get("_points", F.lit(i * len(WIDTHS)) + F.col("_level"))
+        for i in range(2 * len(probabilities))
+    ]
+    return stored(points.withColumn("edges", F.array(*edges)).drop("_points", "_level"))
+
 
+def _brackets(sketched: DataFrame, keys: list[str], how_many: int) -> DataFrame:
+    """Columns ``_low0, _high0, _low1, …`` per key."""
     sides = []
     for i in range(how_many):
-        sides.append(edge(2 * i, -math.inf).alias(f"_low{i}"))
-        sides.append(edge(2 * i + 1, math.inf).alias(f"_high{i}"))
-    return sketches.select(*keys, *sides)
+        sides.append(F.get("edges", F.lit(2 * i)).alias(f"_low{i}"))
+        sides.append(F.get("edges", F.lit(2 * i + 1)).alias(f"_high{i}"))
+    return sketched.select(*keys, *sides)
 
 
 def _ranked(
@@ -159,21 +229,19 @@ def quantiles(
     cols: list[str],
     probabilities: dict[str, float],
     by: str | list[str] | None = None,
-    sketches: DataFrame | None = None,
+    sketched: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and column and
     one named column per quantile. Groups without values have no row.
 
-    ``sketches`` may be given if a caller has them: one row per (``by``, ``column``)
-    with what ``sketch`` returns. Should a quantile lie outside its bracket, which
-    the error bound of the sketch rules out, all values are ranked instead.
+    ``sketched`` may be given if a caller has it: what ``bracketed`` returns. Should a
+    quantile lie outside its bracket, which is most unlikely, all values are ranked.
     """
     keys = [*names(by), "column"]
     long = melt(df, cols, by)
-    if sketches is None:
-        sketches = long.groupBy(*keys).agg(*sketch("value", probabilities))
-    sketches = kept(sketches)
-    brackets = _brackets(sketches, keys, len(probabilities))
+    if sketched is None:
+        sketched = bracketed(sketches(df, cols, by), probabilities)
+    brackets = _brackets(sketched.where("n > 0"), keys, len(probabilities))
     narrow = _ranked(long, keys, brackets, len(probabilities))
     found = kept(_pick(narrow, keys, probabilities))
     missed = functools.reduce(operator.or_, [F.col(name).isNull() for name in probabilities])

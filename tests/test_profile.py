@@ -51,15 +51,7 @@ def test_running_totals_over_several_slices(spark, skewed, many_slices):
     assert running == 3000
 
 
-@pytest.fixture
-def coarse(monkeypatch):
-    """A sketch so rough that a few thousand rows are enough for narrow brackets."""
-    monkeypatch.setattr(ranks, "ACCURACY", 50)
-    monkeypatch.setattr(ranks, "MARGIN", 2 / 50)
-
-
-def test_quantiles_from_narrow_brackets(
-    spark, skewed, many_slices, coarse):
+def test_quantiles_from_narrow_brackets(spark, skewed, many_slices):
     frame, df = skewed
     rows = by_column(profile.describe(df, ["a", "b", "c"]))
     for c in "abc":
@@ -73,22 +65,41 @@ def test_quantiles_from_narrow_brackets(
         assert found == pytest.approx(list(expected), rel=1e-9, abs=1e-9)
 
 
-def test_narrow_brackets_leave_few_values_to_rank(spark, coarse):
+def test_narrow_brackets_leave_few_values_to_rank(spark):
     df = spark.range(10_000).select(F.col("id").cast("double").alias("a"))
-    long = ranks.melt(df, ["a"])
-    sketches = long.groupBy("column").agg(*ranks.sketch("value", {"m": 0.5}))
-    brackets = ranks._brackets(sketches, ["column"], 1)
-    ranked = ranks._ranked(long, ["column"], brackets, 1)
-    assert ranked.count() <= 1200
+    sketched = ranks.bracketed(ranks.sketches(df, ["a"]), {"m": 0.5})
+    brackets = ranks._brackets(sketched, ["column"], 1)
+    ranked = ranks._ranked(ranks.melt(df, ["a"]), ["column"], brackets, 1)
+    assert ranked.count() <= 110
     assert ranked.agg(F.sum("n")).first()[0] == 10_000
     assert ranks.quantiles(df, ["a"], {"m": 0.5}).first().m == 4999.5
 
 
-def test_quantiles_outside_wrong_brackets_are_found_anyway(spark, coarse):
+def test_quantiles_outside_wrong_brackets_are_found_anyway(spark):
     df = spark.range(1_000).select(F.col("id").cast("double").alias("a"))
     columns = "column string, n long, edges array<double>"
     wrong = spark.createDataFrame([("a", 1000, [5.0, 6.0])], columns)
-    assert ranks.quantiles(df, ["a"], {"m": 0.5}, sketches=wrong).first().m == 499.5
+    assert ranks.quantiles(df, ["a"], {"m": 0.5}, sketched=wrong).first().m == 499.5
+
+
+def test_sketches_merge_their_slots(spark, many_slices):
+    """Moments far from zero, over several slots, a group with no values and one with one."""
+    df = spark.range(0, 20_000, 1, 11).selectExpr(
+        "IF(id < 2, 'few', 'many') AS g", "IF(id = 0, NULL, 1e9 + id) AS a",
+        "CAST(NULL AS DOUBLE) AS b",
+    )
+    rows = {(r.g, r["column"]): r for r in ranks.sketches(df, ["a", "b"], "g").collect()}
+    many, few = rows["many", "a"], rows["few", "a"]
+    values = 1e9 + np.arange(2, 20_000)
+    assert (many.n, many.min, many.max) == (19_998, values.min(), values.max())
+    assert many.mean == pytest.approx(values.mean(), rel=1e-14)
+    assert many.std == pytest.approx(values.std(ddof=1), rel=1e-10)
+    assert (few.n, few.mean, few.std) == (1, 1e9 + 1, None)
+    assert (rows["few", "b"].n, rows["few", "b"].mean, rows["few", "b"].max) == (0, None, None)
+    sizes = [r[0] for r in df.groupBy("g").count().select("count").collect()]
+    assert sorted(sizes) == [2, 19_998]
+    found = {r.g: r.m for r in ranks.quantiles(df, ["a"], {"m": 0.5}, "g").collect()}
+    assert found == {"few": 1e9 + 1, "many": float(np.median(values))}
 
 
 def test_describe_sketch_is_close(spark, skewed):
