@@ -11,6 +11,8 @@ from devicepulse.plans.queries import (
     LINEAR,
     LINEAR_INTERCEPT,
     LINEITEM_NUMBERS,
+    LINEITEM_WEIGHTS,
+    LONG_DOCUMENT,
     RULE_MODELS,
 )
 from devicepulse.plans.readings import DIRTY, REQUEST
@@ -149,11 +151,11 @@ def _decoded() -> str:
         "CASE WHEN is_object AND NOT usable THEN 'empty_request' END",
     ]
     for c in S.NUMERIC_FEATURES:
-        kind = "INT" if c in S.COUNTERS else "DOUBLE"
+        kind = "BIGINT" if c in S.COUNTERS else "DOUBLE"
         path = f"'$.{c}'"
         raw = f"trim(json_extract_string(request, {path}))"
         number = f"TRY_CAST({raw} AS DOUBLE)"
-        if kind == "INT":
+        if kind == "BIGINT":
             number = (
                 f"CASE WHEN json_type(request, {path}) = 'VARCHAR' AND NOT "
                 f"regexp_full_match({raw}, '[+-]?[0-9]+') THEN NULL ELSE trunc({number}) END"
@@ -189,7 +191,7 @@ def _defaults() -> str:
         )
 
     cols = [
-        f"CAST({field(c)} AS {'INT' if c in S.COUNTERS else 'DOUBLE'}) AS {c}"
+        f"CAST({field(c)} AS {'BIGINT' if c in S.COUNTERS else 'DOUBLE'}) AS {c}"
         for c in S.NUMERIC_FEATURES
     ]
     return (
@@ -341,6 +343,24 @@ LINEITEM_COLUMNS = [
     "l_linestatus", "l_shipdate",
 ]
 
+LINE_SCORE = " + ".join(
+    f"{dbl(w)} * ({c} / {dbl(s)})" for c, (w, s) in LINEITEM_WEIGHTS.items()
+)
+LINE_STATS = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in LINEITEM_NUMBERS)
+LONG_DOCUMENTS = f"""
+WITH p AS (
+  SELECT lang, quality AS y, CAST(n_chars > {LONG_DOCUMENT} AS INT) AS z, n_chars
+  FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL),
+cells AS (
+  SELECT lang, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (y = z) AS hits,
+         CAST(count(*) FILTER (y = 1 AND z = 1) AS DOUBLE) AS tp,
+         count(*) FILTER (z = 1) AS claimed, count(*) FILTER (y = 1) AS positives
+  FROM p GROUP BY lang),
+pairs AS (
+  SELECT a.lang, avg(CASE WHEN a.n_chars > b.n_chars THEN 1.0
+                          WHEN a.n_chars = b.n_chars THEN 0.5 ELSE 0.0 END) AS area
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.y = 1 AND b.y = 0 GROUP BY a.lang)"""
+
 ORACLE = {
     "fleet_summary": summary(None),
     "fleet_by_type": summary("Device_Type"),
@@ -437,6 +457,22 @@ SELECT event_id, user_id, ts FROM e WHERE nxt IS NULL OR nxt - ts > INTERVAL 30
     "correlation_lineitem": correlations("", "lineitem", LINEITEM_NUMBERS),
     "box_stats_lineitem": boxes("", "lineitem", "l_returnflag", "l_extendedprice"),
     "box_stats_events": boxes("", "events", "event_type", "value"),
+    "risk_score_lineitem": f"""SELECT l_orderkey, l_linenumber, {r6(LINE_SCORE)} AS score,
+       CAST({LINE_SCORE} > {dbl(0.5)} AS INT) AS label,
+       {band_of(f'least(greatest({LINE_SCORE}, {dbl(0.0)}), {dbl(1.0)})')} AS band FROM lineitem""",
+    "standardized_lineitem": f"WITH stats AS (SELECT {LINE_STATS} FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"{r6(f'(({c} - m_{c}) / s_{c})')} AS z_{c}" for c in LINEITEM_NUMBERS)
+    + " FROM lineitem, stats",
+    "one_hot_lineitem": """SELECT l_orderkey, l_linenumber, l_returnflag,
+       CAST(l_returnflag = 'N' AS INT) AS l_returnflag_N,
+       CAST(l_returnflag = 'R' AS INT) AS l_returnflag_R FROM lineitem""",
+    "binary_metrics_documents": f"""{LONG_DOCUMENTS}
+SELECT lang, {r6('hits / n')} AS accuracy, {r6('coalesce(tp / nullif(claimed, 0), 0)')} AS "precision",
+       {r6('coalesce(tp / nullif(positives, 0), 0)')} AS recall,
+       {r6('coalesce(2 * tp / nullif(claimed + positives, 0), 0)')} AS f1 FROM cells""",
+    "roc_auc_documents": f"""{LONG_DOCUMENTS}
+SELECT lang, {r6('area')} AS roc_auc FROM cells LEFT JOIN pairs USING (lang)""",
     "train_compare": f"""{sides(VIEW, 'r', 'Reading_ID', 'Failed')},
 m AS (SELECT unnest(['Logistic Regression', 'Random Forest', 'Gradient Boosted Trees']) AS model)
 SELECT model, count(*) AS n, count(*) FILTER (Failed = 1) AS positives, TRUE AS reaches_floors

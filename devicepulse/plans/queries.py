@@ -35,6 +35,13 @@ LINEAR_INTERCEPT = -3.0
 MAX_FIT_ROWS = 20_000
 F1_FLOOR, AUC_FLOOR = 0.4, 0.85
 LINEITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM_KEY = ["l_orderkey", "l_linenumber"]
+# Weights and scales of a risk score of order lines, and what makes a long document. One
+# scale is prime, so that no score lies half way between two of six decimals.
+LINEITEM_WEIGHTS = {
+    "l_quantity": (0.5, 50.0), "l_extendedprice": (0.25, 104_729.0), "l_discount": (0.25, 0.1),
+}
+LONG_DOCUMENT = 500
 
 
 def r6(c: Column | str) -> Column:
@@ -425,6 +432,44 @@ def box_stats_events(spark, sf):
     return _boxes(table(spark, sf, "events"), "event_type", ["value"])
 
 
+def risk_score_lineitem(spark, sf):
+    score = rules.risk_score(LINEITEM_WEIGHTS)
+    return table(spark, sf, "lineitem").select(
+        *LINEITEM_KEY,
+        r6(score).alias("score"),
+        rules.threshold_label(score, 0.5).alias("label"),
+        rules.risk_band(rules.as_probability(score)).alias("band"),
+    )
+
+
+def standardized_lineitem(spark, sf):
+    z = [f"z_{c}" for c in LINEITEM_NUMBERS]
+    rows = features.standardize(table(spark, sf, "lineitem"), LINEITEM_NUMBERS)
+    return _rounded(rows, *z).select(*LINEITEM_KEY, *z)
+
+
+def one_hot_lineitem(spark, sf):
+    rows = table(spark, sf, "lineitem").select(*LINEITEM_KEY, "l_returnflag")
+    return features.one_hot(rows, "l_returnflag")
+
+
+def _long_documents(spark, sf) -> DataFrame:
+    """Labelled documents, with their length as the score of quality."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    rows = table(spark, sf, "labels").select("doc_id", "quality").join(docs, "doc_id")
+    return rows.withColumn("long", (F.col("n_chars") > LONG_DOCUMENT).cast("int"))
+
+
+def binary_metrics_documents(spark, sf):
+    out = evaluation.binary_metrics(_long_documents(spark, sf), "quality", "long", ["lang"])
+    return _rounded(out, *evaluation.METRICS)
+
+
+def roc_auc_documents(spark, sf):
+    out = evaluation.roc_auc(_long_documents(spark, sf), "quality", "n_chars", ["lang"])
+    return _rounded(out, "roc_auc")
+
+
 def trained(spark, sf):
     """(hold-out rows, models, leaderboard) of the full candidates over the telemetry."""
     train, test = split.stratified_split(readings(spark, sf), "Reading_ID", "Failed")
@@ -478,11 +523,14 @@ REGISTERED = [
     device_ids, head, riskiest_devices, shape, missing_counts, column_info, describe,
     failure_distribution, type_breakdown, correlation_matrix, box_stats_cpu, box_stats_memory,
     box_stats_temperature, box_outliers, confusion, binary_metrics, roc_auc,
-    classification_report, classification_report_by_model, leaderboard, leaderboard_status, best_model, stratified_split,
+    classification_report, classification_report_by_model, leaderboard, leaderboard_status,
+    best_model, stratified_split,
     split_counts, split_counts_labels, class_weights, class_weights_labels, standardized,
     one_hot, linear_score, rule_scoring, encode_responses, fleet_summary_json, sql_functions,
     debounce, describe_lineitem, missing_counts_lineitem, value_counts_events,
-    correlation_lineitem, box_stats_lineitem, box_stats_events, train_compare, fleet_scoring,
+    correlation_lineitem, box_stats_lineitem, box_stats_events, risk_score_lineitem,
+    standardized_lineitem, one_hot_lineitem, binary_metrics_documents, roc_auc_documents,
+    train_compare, fleet_scoring,
 ]
 QUERIES = {f.__name__: f for f in REGISTERED}
 
