@@ -17,6 +17,14 @@ MISSING_CELLS = [
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 CORRUPT = "_corrupt_record"
+# Types whose values are all values of another one. Single precision is read as the text
+# that it is written as.
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType)
+FITTING = {
+    T.IntegerType: INTEGERS,
+    T.LongType: (*INTEGERS, T.LongType),
+    T.DoubleType: (*INTEGERS, T.DoubleType),
+}
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -36,10 +44,19 @@ def _typed(value: Column, kind: T.DataType) -> Column:
     return value.try_cast(kind)
 
 
+def _fits(kind: T.DataType, wanted: T.DataType) -> bool:
+    """Whether numbers of one type can be cast to the other without a check."""
+    return isinstance(kind, FITTING.get(type(wanted), ()))
+
+
 def _typed_cells(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast text cells, with a reason for each cell that is not of its type."""
+    """Cast text cells, with a reason for each cell that is not of its type. Columns of
+    numbers that fit as they are do not become text in between."""
     typed, bad = [], []
     for field in schema:
+        if _fits(df.schema[field.name].dataType, field.dataType):
+            typed.append(F.col(field.name).cast(field.dataType).alias(field.name))
+            continue
         cell = F.when(~F.col(field.name).isin(MISSING_CELLS), F.col(field.name))
         value = _typed(cell, field.dataType)
         typed.append(value.alias(field.name))
@@ -87,11 +104,14 @@ def read_telemetry(
         elif fmt in ("parquet", "orc"):
             raw = nan_to_null(spark.read.format(fmt).load(path))
             absent = {c: F.lit(None).cast("string") for c in schema.fieldNames() if c not in raw.columns}
-            texts = raw.withColumns(absent).select(
-                *[F.col(c).cast("string").alias(c) for c in schema.fieldNames()],
-                F.lit(None).cast("string").alias(CORRUPT),
-            )
-            df = _typed_cells(texts, schema)
+            raw = raw.withColumns(absent)
+            cells = [
+                F.col(f.name)
+                if _fits(raw.schema[f.name].dataType, f.dataType)
+                else F.col(f.name).cast("string").alias(f.name)
+                for f in schema
+            ]
+            df = _typed_cells(raw.select(*cells, F.lit(None).cast("string").alias(CORRUPT)), schema)
         else:
             raise ValueError(f"unknown format: {fmt}")
     except AnalysisException as error:

@@ -5,6 +5,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from devicepulse import schema as S
 from devicepulse.operators.fleet import as_json, fleet_summary
@@ -148,3 +149,25 @@ def test_summary_as_json(spark):
         spark.createDataFrame([("a", "Router", *[1.0] * 4, 1, 1.0, 1.0, 1, 1)], S.TELEMETRY)
     )
     assert fleet_summary(some).select(F.col("health_rate")).first()[0] == 0.0
+
+
+def test_typed_numbers_are_read_as_they_are(spark, tmp_path):
+    row = ("d", "Router", 1.5, 2.0, 3.0, 4.0, 5_000_000_000, 6.0, 7.0, 8, 1)
+    kinds = T.StructType(list(S.TELEMETRY))
+    df = spark.createDataFrame([row], kinds).withColumn("Log_Errors", F.col("Log_Errors").cast("int"))
+    df.write.parquet(str(tmp_path / "typed"))
+    found = telemetry.read_telemetry(spark, str(tmp_path / "typed"), "parquet", keep_errors=True)
+    assert tuple(found.first()) == (*row, [])
+    assert found.drop("read_errors").schema == S.TELEMETRY
+    wide = found.where("Interface_Errors > 5")
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(Interface_Errors,5)" in plan
+
+
+def test_what_fits_without_text():
+    fits = telemetry._fits
+    assert fits(T.IntegerType(), T.LongType()) and fits(T.IntegerType(), T.DoubleType())
+    assert fits(T.DoubleType(), T.DoubleType()) and fits(T.LongType(), T.LongType())
+    assert not fits(T.LongType(), T.IntegerType()) and not fits(T.LongType(), T.DoubleType())
+    assert not fits(T.FloatType(), T.DoubleType())
+    assert not fits(T.StringType(), T.StringType()) and not fits(T.DoubleType(), T.LongType())
