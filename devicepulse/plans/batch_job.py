@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from devicepulse import schema as S
 from devicepulse.operators import evaluation, fleet, profile, quality, scoring, split, training
+from devicepulse.session import reread
 from devicepulse.sources import models, telemetry
 
 
@@ -39,6 +40,8 @@ def run(
     resulting table is also written below that path as parquet.
     """
     raw = telemetry.read_telemetry(spark, source, fmt)
+    if fmt in ("csv", "json"):
+        raw = reread(raw)  # the text is parsed once for all tables
     labelled = [*quality.input_rules(), ("missing:" + S.LABEL, raw[S.LABEL].isNotNull())]
     valid, rejected = quality.validate(raw, labelled)
     train, test = split.stratified_split(valid, S.KEY, S.LABEL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """``df`` written once as parquet below the shared checkpoint folder and read again,
+    so that later scans parse nothing and read only the columns they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and cached on the executors, spilling to disk.
 
