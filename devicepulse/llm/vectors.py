@@ -1,18 +1,21 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Each pass gives a vector a number made of the signs of random projections, one after
-the other, and sorts the vectors by it: vectors at a small angle share a long front part
-and come to lie close together. Sorted neighbours up to ``WINDOW`` places apart are
-compared exactly, and the verified pairs of all passes are united to components. What
-is compared in one task is a block of ``BLOCK`` sorted vectors and the window after it,
-so tasks stay small however many vectors share a front part. A block only passes on
-which of its vectors are connected, not its pairs.
-
-A component may hold more links than the windows met, so the links of each vector are
-counted at the end by comparing the blocks of its component with each other, exactly.
+"""Near-duplicate vectors: all pairs, or hashed passes where those are cheaper.
+
+The vectors of one length are compared all with all, in tiles, as long as this costs no
+more than hashing them. Otherwise each pass puts them into cells of random projections
+with random shifts, and all vectors of a bucket are compared, whatever its size. What
+the chance to share a bucket depends on is the distance of two vectors alone, not where
+they lie or how dense it is there, so the number of passes follows from the cell width,
+the number of projections and ``miss``: each pair of the threshold or above is met by
+some pass but for a chance of at most ``miss``. Width and number of projections are the
+cheapest for the crowding that a sample of the vectors shows; the sample decides about
+costs only. The verified pairs are united to components. A tile passes on which of its
+vectors are connected, not its pairs.
+
+The links of each vector are counted at the end by comparing the blocks of its component
+with each other, exactly.
 
 Vectors that are equal bit by bit after scaling to length one are handled as one with a
-multiplicity, so copies are neither sorted nor compared again.
+multiplicity, so copies are neither hashed nor compared again.
 
 Results that are defined for odd input: vectors that are NULL, empty, zero or hold NULL
 or non-finite components, and vectors of different lengths, link with nothing; NULL ids
@@ -22,6 +25,9 @@ are copies; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -31,10 +37,14 @@ from pyspark.sql.types import StructType
 
 from devicepulse.llm.shared import components, ranked, written
 
-PASSES = 16
-BITS = 62
-WINDOW = 128
 BLOCK = 512
+# Sizes of a tile: vectors at most, bytes at most, and tiles that a bucket has at least
+# where it is larger than that many blocks.
+TILE, TILE_BYTES, TILES = 32_768, 1 << 24, 8
+# Comparisons that cost as much as moving a vector to a further task.
+SHIP = 8_192
+# Vectors of one length that decide about the cells, and the draws they are tried on.
+SAMPLE, DRAWS = 1_024, 4
 
 
 def _units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -68,20 +78,87 @@ def _units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return narrow.mapInPandas(batches, schema)
 
 
-def _sort_keys(nodes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """(``pass``, ``dim``, ``key``, ``node``) for each node and pass."""
+@dataclass(frozen=True)
+class Cells:
+    """``passes`` times ``number`` projections, cut into cells of ``width``."""
+
+    width: float
+    number: int
+    passes: int
+
+    def keys(self, units: np.ndarray, seed: int, p: int) -> np.ndarray:
+        """The bucket of each vector in pass ``p``."""
+        draw = np.random.default_rng([seed, p, units.shape[1]])
+        cells = _cells(units, self.width, self.number, draw)
+        odd = draw.integers(1 << 62, size=self.number) * 2 + 1
+        with np.errstate(over="ignore"):
+            return (cells * odd).sum(axis=1)  # buckets that meet are compared together
+
+
+def _cells(units: np.ndarray, width: float, number: int, draw) -> np.ndarray:
+    lines = draw.standard_normal((units.shape[1], number))
+    return np.floor(units @ lines / width + draw.random(number)).astype(np.int64)
+
+
+def _together(u: float) -> float:
+    """The chance that a projection keeps two vectors in one cell that is ``u`` times as
+    wide as their distance; the nearer, the more."""
+    return math.erf(u / math.sqrt(2)) - math.sqrt(2 / math.pi) / u * -math.expm1(-u * u / 2)
+
+
+def cheapest(
+    units: np.ndarray, n: int, threshold: float, miss: float, ship: float = SHIP
+) -> Cells | None:
+    """Cells for ``n`` vectors of which ``units`` is a sample; None where comparing all
+    of them costs less."""
+    reach = math.sqrt(max(2 - 2 * threshold, 1e-12)) * (1 + 1e-9)
+    best, found = n + ship * math.ceil(n / TILE), None
+    above = np.triu_indices(len(units), 1)
+    for u in (2, 3, 4, 6, 8, 12):
+        shared = np.zeros(48)
+        for d in range(DRAWS):
+            cells = _cells(units, u * reach, len(shared), np.random.default_rng([d, 1]))
+            i, j = above
+            for k in range(len(shared)):
+                same = cells[i, k] == cells[j, k]
+                i, j = i[same], j[same]
+                shared[k] += (len(i) + 1) / len(above[0]) / DRAWS
+        for k, crowd in enumerate(shared, 1):
+            kept = _together(u) ** k
+            passes = max(1, math.ceil(math.log(miss) / math.log1p(-kept)))
+            cost = passes * (crowd * n + ship)
+            if cost < best:
+                best, found = cost, Cells(u * reach, k, passes)
+    return found
+
+
+def _plans(nodes: DataFrame, threshold: float, miss: float) -> dict[int, Cells]:
+    """The cells of each length of vectors that is worth hashing."""
+    plans = {}
+    # Below this number no cells are cheaper than all pairs.
+    counts = nodes.groupBy("dim").count().where(F.col("count") > 4 * SHIP).collect()
+    for dim, n in counts:
+        some = nodes.where(F.col("dim") == dim).orderBy("node").select("unit").limit(SAMPLE)
+        cells = cheapest(_matrix(some.toPandas()), n, threshold, miss)
+        if cells:
+            plans[dim] = cells
+    return plans
+
+
+def _buckets(nodes: DataFrame, plans: dict[int, Cells], seed: int) -> DataFrame:
+    """(``pass``, ``dim``, ``key``, ``node``): each node with its bucket in each pass."""
 
     def batches(frames):
         for frame in frames:
             for dim, some in frame.groupby("dim"):
-                units = np.stack([np.frombuffer(u) for u in some["unit"]])
-                weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-                for p in range(passes):
-                    planes = np.random.default_rng([seed, p, dim]).standard_normal((dim, BITS))
-                    keys = (units @ planes > 0) @ weights
-                    yield pd.DataFrame(
-                        {"pass": p, "dim": dim, "key": keys, "node": some["node"].to_numpy()}
-                    )
+                cells, names = plans.get(dim), some["node"].to_numpy()
+                if cells is None:
+                    yield pd.DataFrame({"pass": 0, "dim": dim, "key": 0, "node": names})
+                    continue
+                units = _matrix(some)
+                for p in range(cells.passes):
+                    keys = cells.keys(units, seed, p)
+                    yield pd.DataFrame({"pass": p, "dim": dim, "key": keys, "node": names})
 
     return nodes.select("node", "dim", "unit").mapInPandas(
         batches, "pass int, dim int, key long, node string"
@@ -92,43 +169,60 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
     return np.stack([np.frombuffer(u) for u in frame["unit"]])
 
 
-def _neighbours(threshold: float, window: int):
-    """Of a block in sorted order: each vector with the first one it is connected to."""
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        units, nodes, places = _matrix(frame), frame["node"].to_numpy(), frame["place"].to_numpy()
-        near = units @ units.T >= threshold
-        near &= np.abs(places[:, None] - places) <= window
-        label = np.arange(len(nodes))
-        while True:
-            smaller = np.where(near, label, len(nodes)).min(axis=1, initial=len(nodes))
-            smaller = np.minimum(smaller, label)
-            smaller = smaller[smaller]
-            if (smaller == label).all():
-                break
-            label = smaller
-        joined = label != np.arange(len(nodes))
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, the least place of each component, after the links ``a`` - ``b``."""
+    while True:
+        a_label, b_label = label[a], label[b]
+        open_ = a_label != b_label
+        if not open_.any():
+            return label
+        a, b = a[open_], b[open_]
+        low, high = np.minimum(a_label, b_label)[open_], np.maximum(a_label, b_label)[open_]
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _connected(threshold: float, cells: int = 1 << 22):
+    """Of two tiles of a bucket, or one: each vector with the first one it is connected
+    to. ``cells`` products are in memory at once."""
+
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        *_, low, high = key
+        frame = pd.concat([frame[frame["own"] == t] for t in dict.fromkeys((low, high))])
+        units, nodes = _matrix(frame), frame["node"].to_numpy()
+        n, left = len(nodes), int((frame["own"] == low).sum())
+        label = np.arange(n)
+        first = 0 if low == high else left
+        step = max(1, cells // max(1, n - first))
+        for i in range(0, left, step):
+            near = units[i : min(i + step, left)] @ units[first:].T >= threshold
+            a, b = near.nonzero()
+            label = _unite(label, a + i, b + first)
+        joined = label != np.arange(n)
         return pd.DataFrame({"a": nodes[joined], "b": nodes[label[joined]]})
 
     return compare
 
 
-def _passes(nodes: DataFrame, threshold: float, passes: int, seed: int) -> DataFrame:
-    """Connected pairs (``a``, ``b``) of all passes."""
-    keys = written(_sort_keys(nodes, passes, seed), "keys")
+def _links(nodes: DataFrame, threshold: float, miss: float, seed: int) -> DataFrame:
+    """Connected pairs (``a``, ``b``) of all buckets."""
+    by = ["pass", "dim", "key"]
+    keys = written(_buckets(nodes, _plans(nodes, threshold, miss), seed), "keys")
     keys = keys.withColumn("one", F.lit(1).cast("long"))
-    sorted_ = ranked(keys, ["pass", "dim"], ["key", "node"], ["one"], "sorted")
-    place = F.col("one_before")
-    block = F.floor(place / BLOCK)
-    # The first places of a block are also compared with the end of the one before.
-    into = F.when((place % BLOCK < WINDOW) & (block > 0), F.array(block, block - 1))
-    dealt = sorted_.select(
-        "pass", "dim", place.alias("place"), "node", F.explode(F.coalesce(into, F.array(block))).alias("block")
+    placed = ranked(keys, by, ["node"], ["one"], "buckets").where("one_total > 1")
+    most = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim")))))
+    tiles = F.greatest(
+        F.ceil(F.col("one_total") / most), F.least(F.lit(TILES), F.ceil(F.col("one_total") / BLOCK))
     )
-    blocks = dealt.join(nodes.select("node", "unit"), "node")
-    return blocks.groupBy("pass", "dim", "block").applyInPandas(
-        _neighbours(threshold, WINDOW), "a string, b string"
+    own = F.floor(F.col("one_before") * tiles / F.col("one_total"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other")
+    dealt = placed.select(*by, "node", own.alias("own"), others)
+    pairs = dealt.select(
+        *by, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node"
+    ).join(nodes.select("node", "unit"), "node")
+    return pairs.groupBy(*by, "low", "high").applyInPandas(
+        _connected(threshold), "a string, b string"
     )
 
 
@@ -152,12 +246,14 @@ def _count_links(threshold: float):
 def near_vectors(
     vectors: DataFrame,
     threshold: float = 0.95,
-    passes: int = PASSES,
+    miss: float = 1e-6,
     seed: int = 3,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
-    """Per row of ``vectors``: id, ``n_links``, ``component_id`` and ``kept``."""
+    """Per row of ``vectors``: id, ``n_links``, ``component_id`` and ``kept``. A link that
+    is alone between two components is found but for a chance of at most ``miss``, and
+    always where all pairs are compared."""
     rows = written(_units(vectors, id_col, vec_col), "units")
     valid = rows.where(F.col("node").isNotNull())
     nodes = written(
@@ -169,7 +265,7 @@ def near_vectors(
         ),
         "nodes",
     )
-    linked = written(components(_passes(nodes, threshold, passes, seed), "vectors"), "roots")
+    linked = written(components(_links(nodes, threshold, miss, seed), "vectors"), "roots")
     members = linked.join(nodes.select("node", "least"), "node")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     # Links inside components, block by block.

@@ -184,3 +184,56 @@ def test_vectors_of_tiny_tables(spark, size):
     df = spark.createDataFrame([(None, [1.0, 2.0])][:size], "vec_id long, embedding array<double>")
     rows = vectors.near_vectors(df).collect()
     assert [tuple(r) for r in rows] == [(None, 0, None, True)][:size]
+
+
+def hot_cone(n, planted, seed=1, dim=64):
+    """Unit vectors in one cone of pairwise cosine about 0.85; the first ``planted`` have
+    a near one each, at cosine 0.952 to 0.96, as the last ``planted``."""
+    draw = np.random.default_rng(seed)
+
+    def away(v):
+        d = draw.standard_normal(v.shape)
+        d -= (d * v).sum(1, keepdims=True) * v
+        return d / np.linalg.norm(d, axis=1, keepdims=True)
+
+    axis = np.tile(np.eye(dim)[0], (n - planted, 1))
+    cone = np.sqrt(0.85) * axis + np.sqrt(0.15) * away(axis)
+    near = draw.uniform(0.952, 0.96, (planted, 1))
+    first = cone[:planted]
+    return np.vstack([cone, near * first + np.sqrt(1 - near**2) * away(first)])
+
+
+def check_links(spark, units):
+    near = units @ units.T >= 0.95
+    np.fill_diagonal(near, False)
+    rows = [(i, v.tolist()) for i, v in enumerate(units)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+    assert [found[i].n_links for i in range(len(units))] == near.sum(1).tolist()
+    component = roots(range(len(units)), zip(*(x.tolist() for x in near.nonzero())))
+    assert {i: r.component_id for i, r in found.items()} == component
+
+
+def test_vectors_of_a_hot_cone(spark):
+    check_links(spark, hot_cone(9_000, 1_500))
+
+
+def test_vectors_in_hashed_cells(spark, monkeypatch):
+    cells = vectors.Cells(4 * math.sqrt(0.1), 3, 25)
+    assert (1 - vectors._together(4) ** 3) ** 25 < 1e-6
+    monkeypatch.setattr(vectors, "_plans", lambda *_: {64: cells})
+    check_links(spark, hot_cone(1_500, 300))
+
+
+def test_cells_of_a_sample():
+    units = hot_cone(vectors.SAMPLE, 0)
+    assert vectors.cheapest(units, 60_000, 0.95, 1e-6) is None
+    cells = vectors.cheapest(units, 60_000_000, 0.95, 1e-6)
+    assert (1 - vectors._together(cells.width / math.sqrt(0.1)) ** cells.number) ** cells.passes < 1.1e-6
+    draw = np.random.default_rng(2)
+    kept = np.zeros(2)
+    for i in range(4_000):
+        pair = np.vstack([np.zeros(64), np.eye(64)[0] * math.sqrt(0.1)])
+        c = vectors._cells(pair, cells.width, 1, draw)
+        kept += [1, c[0, 0] == c[1, 0]]
+    assert abs(kept[1] / kept[0] - vectors._together(cells.width / math.sqrt(0.1))) < 0.03
