@@ -4,10 +4,13 @@ The patterns label credentials: values assigned to telling names, access keys an
 hexadecimal runs. From a bounded sample of each kind a probabilistic automaton is
 inferred: its prefix tree, in which states whose frequencies differ by no more than a
 Hoeffding bound allows are merged. A further automaton stands for ordinary runs of the
-same characters. Every run in every text that no pattern covers is then scored by the
-bits per character by which the best credential automaton explains it better than the
-ordinary one, and runs above a threshold taken from the ordinary sample become spans of
-kind ``grammar``. Spans count code points and exclude their end.
+same characters; sampled runs that a credential automaton explains as well as it does
+labelled credentials are no part of it. Every run in every text that no pattern covers is
+then scored by the bits per character by which the best credential automaton explains it
+better than the ordinary one. The threshold is a quantile of the scores of all distinct
+runs below those of labelled credentials, so it does not move with the number of bare
+credentials, and runs that reach it become spans of kind ``grammar``. Spans count code points and exclude their
+end.
 
 Results that are defined for odd input: NULL and empty text has no spans; very long
 texts are read whole; repeated rows get equal spans; a kind without enough labelled
@@ -182,10 +185,12 @@ def infer(tokens: list[str], alpha: float = 0.05) -> Automaton:
 
 @dataclass
 class FormatModel:
-    """Automata of the credential kinds, the ordinary one, and the threshold in bits."""
+    """Automata of the credential kinds, the ordinary one, the gain from which on a run is
+    like the labelled credentials, and the threshold, both in bits per character."""
 
     formats: list[Automaton] = field(default_factory=list)
     ordinary: Automaton | None = None
+    sure: float = math.inf
     threshold: float = math.inf
 
     def gain(self, token: str) -> float:
@@ -193,16 +198,55 @@ class FormatModel:
         return self.ordinary.bits(token) - min(f.bits(token) for f in self.formats)
 
 
+LEAST_GAIN = 1.0
+
+
+def _low(values: list[float], share: float = 0.01) -> float:
+    return sorted(values)[int(share * len(values))]
+
+
 def fit(samples: dict[str, list[str]], least: int = 5, quantile: float = 0.999) -> FormatModel:
-    """Half of the ordinary sample makes its automaton; the threshold is the quantile of
-    the gains of the other half, and at least one bit per character."""
-    formats = [infer(samples[k]) for k in BASE if len(samples.get(k, [])) >= least]
+    """Formats of the kinds and an ordinary automaton without the runs that they explain.
+
+    A run of the ordinary sample is left out if, by the automaton of the other half, its
+    gain for a kind is positive and reaches that of the labelled tokens of this kind.
+    The threshold is the quantile of the gains of the sample below ``sure``, and at
+    least one bit per character.
+    """
+    kinds = [samples[k] for k in BASE if len(samples.get(k, [])) >= least]
     plain = samples.get(ORDINARY, [])
-    if not formats or len(plain) < 2 * least:
+    if not kinds or len(plain) < 2 * least:
         return FormatModel()
-    model = FormatModel(formats, infer(plain[::2]))
-    gains = sorted(model.gain(t) for t in plain[1::2])
-    model.threshold = max(1.0, gains[min(len(gains) - 1, int(quantile * len(gains)))])
+    formats = [infer(tokens) for tokens in kinds]
+    # Labelled tokens by an automaton that has not seen them.
+    unseen = []
+    for tokens, whole in zip(kinds, formats):
+        half = infer(tokens[::2]) if len(tokens) >= 4 * least else whole
+        unseen.append([(t, half.bits(t)) for t in tokens[1::2]])
+    own = {t: [f.bits(t) for f in formats] for t in plain}
+
+    def lows(ordinary: Automaton) -> list[float]:
+        return [_low([ordinary.bits(t) - bits for t, bits in some]) for some in unseen]
+
+    halves = [plain[::2], plain[1::2]]
+    for _ in range(5):
+        learned = [infer(half) for half in halves]
+        kept = []
+        for half, other in zip(halves, reversed(learned)):
+            cuts = lows(other)
+            kept.append([
+                t for t in half
+                if not any(g >= c and g > 0 for g, c in ((other.bits(t) - b, c) for b, c in zip(own[t], cuts)))
+            ])
+        if kept == halves or min(map(len, kept)) < least or 2 * sum(map(len, kept)) < len(plain):
+            break
+        halves = kept
+    model = FormatModel(formats, infer(halves[0]))
+    model.sure = max(LEAST_GAIN, min(lows(model.ordinary)))
+    gains = sorted(g for g in map(model.gain, halves[1]) if g < model.sure)
+    if gains:
+        gains = gains[min(len(gains) - 1, int(quantile * len(gains))) :]
+    model.threshold = max([LEAST_GAIN, *gains[:1]])
     return model
 
 
@@ -237,9 +281,32 @@ def examples(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     return out
 
 
-def train(docs: DataFrame, size: int = 1_000, **columns: str) -> FormatModel:
-    """Fit on at most ``size`` distinct tokens per kind."""
-    return fit(examples(docs, size, **columns))
+def all_gains(docs: DataFrame, model: FormatModel, text_col: str = "text") -> DataFrame:
+    """``gain`` of every distinct candidate (``hash``) of all texts."""
+
+    def batches(frames):
+        for frame in frames:
+            runs = {t for text in frame["text"] for *_, t in candidates(text, base_spans(text))}
+            rows = [(xxhash.xxh64_intdigest(t) >> 1, model.gain(t)) for t in runs]
+            yield pd.DataFrame(rows, columns=["hash", "gain"])
+
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.mapInPandas(batches, "hash long, gain double").groupBy("hash").agg(F.max("gain").alias("gain"))
+
+
+def train(
+    docs: DataFrame, size: int = 1_000, quantile: float = 0.999, **columns: str
+) -> FormatModel:
+    """Fit on at most ``size`` distinct tokens per kind; the threshold is the quantile of
+    the gains of all distinct candidates below those of labelled tokens."""
+    model = fit(examples(docs, size, **columns), quantile=quantile)
+    if model.formats:
+        gains = all_gains(docs, model, columns.get("text_col", "text"))
+        below = gains.where(F.col("gain") < model.sure)
+        cut = below.agg(F.percentile_approx("gain", quantile, 100_000)).first()[0]
+        model.threshold = LEAST_GAIN if cut is None else max(LEAST_GAIN, cut)
+    return model
 
 
 def find_secrets(

@@ -74,6 +74,36 @@ def test_automaton_tells_formats_apart():
     assert not secrets.fit({}).formats
 
 
+def secret_samples(share):
+    """Labelled keys, keys without a label, and ordinary runs that hold these as a share."""
+    draw = random.Random(11)
+    keys = ["key_" + "".join(draw.choices("0123456789ABCDEF", k=24)) for _ in range(600)]
+    words = ["".join(draw.choices(["ther", "ing", "and", "ation", "est"], k=6)) for _ in range(600)]
+    return keys[:250], keys[250 : 250 + round(share * 600)], words
+
+
+@pytest.mark.parametrize("share", [0.005, 0.05, 0.3])
+def test_bare_credentials_do_not_hide_each_other(share):
+    keys, bare, words = secret_samples(share)
+    plain = words + bare
+    random.Random(12).shuffle(plain)
+    model = secrets.fit({"assign": keys, secrets.ORDINARY: plain})
+    found = [t for t in plain if model.gain(t) >= model.threshold]
+    assert not set(found) & set(words)
+    assert len(found) >= 0.98 * len(bare)
+
+
+def test_threshold_covers_all_candidates(spark):
+    keys, bare, words = secret_samples(0.05)
+    texts = [f"token={k}" for k in keys] + [f"see {t} here" for t in words + bare]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.train(docs, size=100)
+    assert secrets.all_gains(docs, model).count() == len(set(words + bare))
+    rows = {r.doc_id: r.spans for r in secrets.find_secrets(docs, model).collect()}
+    found = [any(s["kind"] == "grammar" for s in rows[i]) for i in range(250, len(texts))]
+    assert not any(found[:600]) and sum(found[600:]) >= 0.98 * len(bare)
+
+
 def test_secrets_of_odd_rows(spark, odd, empty):
     model = secrets.train(odd)
     assert not model.formats
