@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from devicepulse.llm import exact_dedup, minhash, mixing, packing, quality, secrets, sharding, token_counts, toxicity, vectors
+from devicepulse.llm import (
+    exact_dedup,
+    fill_middle,
+    minhash,
+    mixing,
+    negatives,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    token_counts,
+    toxicity,
+    vectors,
+)
 
 QUERIES = {
     "op1_secrets": secrets.op1,
@@ -15,5 +29,12 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_toxicity": toxicity.op9,
     "op10_quality": quality.op10,
+    "op11_hard_negatives": negatives.op11,
+    "op12_fill_middle": fill_middle.op12,
+    "op13_repeats": repeats.op13,
+}
+ORACLE = {
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op11_hard_negatives": negatives.SQL,
+    "op12_fill_middle": fill_middle.SQL,
 }
-ORACLE = {"op6_exact_dedup": exact_dedup.SQL}
