@@ -37,6 +37,46 @@ def fleet_summary(
     )
 
 
+AVERAGED = {"avg_cpu": "CPU_Usage", "avg_mem": "Memory_Usage", "avg_temp": "Temperature", "avg_loss": "Packet_Loss"}
+
+
+def summary_parts(df: DataFrame, by: list[str]) -> DataFrame:
+    """What ``merged_summary`` needs of the rows of each group: sums and counts, which
+    add up over any division of the rows."""
+    sums = []
+    for name, c in AVERAGED.items():
+        sums += [F.sum(known(F.col(c))).alias(f"{name}_sum"), F.count(known(F.col(c))).alias(f"{name}_n")]
+    return df.groupBy(*by).agg(
+        F.count("*").alias("total"),
+        F.sum(known(F.col(S.LABEL)).cast("long")).alias("failed"),
+        F.count_if(F.col("Device_Type") == "Router").alias("routers"),
+        F.count_if(F.col("Device_Type") == "Switch").alias("switches"),
+        *sums,
+    )
+
+
+def merged_summary(
+    parts: DataFrame, by: str | list[str] | None = None, active_model: str = NO_MODEL
+) -> DataFrame:
+    """``fleet_summary`` of all rows, from the ``summary_parts`` of each share of them."""
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    total, failed = whole("total"), whole("failed")
+    return parts.groupBy(*names(by)).agg(
+        F.lit(True).alias("success"),
+        total.alias("total_devices"),
+        failed.alias("failed_count"),
+        (total - failed).alias("healthy_count"),
+        F.round(F.try_divide(total - failed, total) * 100, 2).alias("health_rate"),
+        *[
+            F.round(F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n")), 2).alias(name)
+            for name in AVERAGED
+        ],
+        whole("routers").alias("routers_count"),
+        whole("switches").alias("switches_count"),
+        F.lit(active_model).alias("active_model"),
+    )
+
+
 def as_json(df: DataFrame, name: str = "response") -> DataFrame:
     """Each row as one JSON object; NULL fields are kept."""
     body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,21 +52,26 @@ def score_by_rule(df: DataFrame, score: Column | None = None) -> DataFrame:
 
 
 def score_requests(
-    df: DataFrame, model: PipelineModel | None, col: str = "request"
+    df: DataFrame,
+    model: PipelineModel | None,
+    col: str = "request",
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``response`` to JSON requests, keeping the other columns.
 
     Each request is either scored in full or answered with an error; without a
-    model all get an error. Works on a stream as well. Unusable rows pass through
+    model all get an error. A ``scorer``, such as ``score_by_rule``, may stand in for
+    the model. Works on a stream as well. Unusable rows pass through
     the model with default readings, so that batch and stream need no second read
     of their input, and their scores are then dropped.
     """
     decoded = decode_requests(df, col)
-    if model is None:
+    if model is None and scorer is None:
         reasons = F.array_insert("reasons", 1, F.lit("no model loaded"))
         failed = decoded.withColumn("reasons", reasons)
         answer = F.to_json(F.struct(F.array_join("reasons", ", ").alias("error")))
         return failed.withColumn("response", answer).select(*df.columns, "response")
     fill = {c: F.coalesce(F.col(c), F.lit(S.REQUEST_DEFAULTS[c])) for c in S.FEATURES}
-    scored = score_fleet(decoded.withColumns(fill), model)
+    filled = decoded.withColumns(fill)
+    scored = scorer(filled) if scorer else score_fleet(filled, model)
     return encode_responses(scored, "reasons").select(*df.columns, "response")

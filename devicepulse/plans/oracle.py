@@ -361,6 +361,31 @@ pairs AS (
                           WHEN a.n_chars = b.n_chars THEN 0.5 ELSE 0.0 END) AS area
   FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.y = 1 AND b.y = 0 GROUP BY a.lang)"""
 
+def _answers() -> str:
+    """Per request the fields of its response."""
+    told = {
+        "success": "TRUE",
+        "prediction": f"CAST(Risk_Score > {dbl(0.65)} AS INT)",
+        "probability": r6("p"),
+        "risk": "risk",
+        "risk_color": band_column("risk", 1),
+        "status_text": band_column("risk", 2),
+        "advisory": advisory_list(S.ADVISORY_TEXTS),
+        "model_used": "'Risk Score'",
+    }
+    fields = ", ".join(f"CASE WHEN reasons = '' THEN {sql} END AS {c}" for c, sql in told.items())
+    return f"""
+WITH decoded AS ({_decoded()}),
+s AS (SELECT *, {SCORE} AS Risk_Score FROM decoded),
+b AS (SELECT *, {PROB} AS p, {band_of(PROB)} AS risk FROM s)
+SELECT Reading_ID, {fields}, nullif(replace(reasons, '|', ', '), '') AS error FROM b"""
+
+
+BURSTS = """WITH e AS (
+  SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT event_id, user_id, ts FROM e WHERE nxt IS NULL OR nxt - ts > INTERVAL 30 MINUTE"""
+
 ORACLE = {
     "fleet_summary": summary(None),
     "fleet_by_type": summary("Device_Type"),
@@ -446,10 +471,16 @@ SELECT Reading_ID, TRUE AS success, CAST(Risk_Score > {dbl(0.65)} AS INT) AS pre
     "sql_functions": f"""{VIEW} SELECT Reading_ID, {r6(SCORE)} AS score,
        CAST({SCORE} > {dbl(0.65)} AS INT) AS label, {band_of(f'({SCORE})')} AS band,
        Device_Type AS kind FROM r""",
-    "debounce": """WITH e AS (
-  SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt
-  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
-SELECT event_id, user_id, ts FROM e WHERE nxt IS NULL OR nxt - ts > INTERVAL 30 MINUTE""",
+    "debounce": BURSTS,
+    "quiet_stream": BURSTS,
+    "scoring_stream": _answers(),
+    "quarantine_stream": f"{DIRTY_ROWS} SELECT Reading_ID, CASE WHEN {_checks()} = '' THEN 'accepted' "
+    f"ELSE 'rejected' END AS side, {_checks()} AS reasons FROM dirty",
+    "summary_stream": summary("Device_Type"),
+    "incremental_summary": summary("Device_Type"),
+    "percent_text": f"{VIEW} SELECT Reading_ID, printf('%.2f%%', Interface_Errors / 700 * 100) AS percent FROM r",
+    "thousands_text": "SELECT event_id, format('{:,}', event_id * 12345 - 1000000) AS thousands FROM events",
+    "request_errors": f"SELECT error, count(*) AS n FROM ({_answers()}) WHERE error IS NOT NULL GROUP BY 1",
     "describe_lineitem": described("", "lineitem", LINEITEM_NUMBERS),
     "missing_counts_lineitem": missing("", "lineitem", LINEITEM_COLUMNS),
     "value_counts_events": "SELECT event_type, count(*) AS n FROM events "

@@ -6,6 +6,7 @@ import datetime as dt
 import functools
 import operator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,12 @@ from devicepulse.operators import (
     split,
     training,
 )
-from devicepulse.plans.readings import DIRTY, REQUEST, readings, table
-from devicepulse.session import match
+from devicepulse.plans import increments
+from devicepulse.plans.readings import DIRTY, REQUEST, readings, readings_of, table, table_stream
+from devicepulse.session import ensure_checkpoint_dir, match, new_folder
 from devicepulse.sources import requests
+from devicepulse.sources.models import load_model, save_model
+from devicepulse.streaming import live, quarantine, quiet
 from devicepulse.streaming.debounce import debounce as keep_last
 
 # Thresholds of the risk score that act as three models, and their names.
@@ -407,6 +411,93 @@ def debounce(spark, sf):
     return last.select("event_id", "user_id", "ts")
 
 
+def scoring_stream(spark, sf):
+    """Requests replayed as a stream and scored by rule into a file sink; the responses
+    are read back so that their fields can be compared."""
+    rows = readings_of(table_stream(spark, sf, "events"))
+    stream = rows.selectExpr("Reading_ID", f"{REQUEST} AS request")
+    scored = live.score_stream(stream, None, scorer=scoring.score_by_rule)
+    out = live.catch_up(scored.select("Reading_ID", "response"), new_folder(spark, "scored"))
+    fields = (
+        "success boolean, prediction int, probability double, risk string, risk_color string, "
+        "status_text string, advisory array<string>, model_used string, error string"
+    )
+    out = out.select("Reading_ID", F.from_json("response", fields).alias("r"))
+    out = out.select("Reading_ID", "r.*").withColumn("advisory", F.array_join("advisory", "|"))
+    return _rounded(out, "probability")
+
+
+def quarantine_stream(spark, sf):
+    """Faulty readings replayed as a stream and sorted into accepted and rejected rows."""
+    folder = new_folder(spark, "quarantine")
+    dirty = readings_of(table_stream(spark, sf, "events")).selectExpr("Reading_ID", *_columns(DIRTY))
+    quarantine.sort_out(dirty, folder, once=True).awaitTermination()
+    sides = [
+        quarantine.sorted_rows(spark, folder, side).select(
+            "Reading_ID", F.lit(side).alias("side"), F.array_join("reasons", "|").alias("reasons")
+        )
+        for side in quarantine.SIDES
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def quiet_stream(spark, sf):
+    """Events replayed as a stream: the last of each burst, let go by a later event or by
+    the timer of its key."""
+    folder = new_folder(spark, "quiet")
+    stream = table_stream(spark, sf, "events").select("event_id", "user_id", "ts")
+    gap, idle = dt.timedelta(minutes=30), dt.timedelta(milliseconds=500)
+    last = quiet.settled(stream, "user_id", "ts", gap, idle, tiebreak="event_id")
+    query = live.start(last, f"{folder}/checkpoint", "parquet", path=f"{folder}/rows")
+    quiet.until_settled(query)
+    return spark.read.schema(last.schema).parquet(f"{folder}/rows")
+
+
+def summary_stream(spark, sf):
+    """The live summary by device type after the last batch of the replayed readings."""
+    folder = new_folder(spark, "summary")
+    rows = readings_of(table_stream(spark, sf, "events"))
+    summary = live.fleet_summary_stream(rows, ["Device_Type"])
+
+    def replace(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    writer = summary.writeStream.outputMode("complete").foreachBatch(replace)
+    writer = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.schema(summary.schema).parquet(f"{folder}/rows")
+
+
+def incremental_summary(spark, sf):
+    """The summary by device type of readings that arrive in three shares, each scanned once."""
+    folder = new_folder(spark, "increments")
+    columns = [*S.FEATURES, S.LABEL, "Reading_ID"]
+    for share in range(3):
+        arrived = readings(spark, sf).select(columns).where(F.col("Reading_ID") % 3 == share)
+        arrived.write.mode("append").parquet(f"{folder}/readings")
+        out = increments.refresh(spark, f"{folder}/readings", f"{folder}/sums", ["Device_Type"])
+    return out
+
+
+def percent_text(spark, sf):
+    shares = readings(spark, sf).select("Reading_ID", (F.col("Interface_Errors") / 700).alias("p"))
+    return shares.select("Reading_ID", text.percent(F.col("p")).alias("percent"))
+
+
+def thousands_text(spark, sf):
+    events = table(spark, sf, "events")
+    wide = F.col("event_id") * 12_345 - 1_000_000
+    return events.select("event_id", text.thousands(wide).alias("thousands"))
+
+
+def request_errors(spark, sf):
+    """How many requests are answered with each error."""
+    rows = readings(spark, sf).selectExpr(f"{REQUEST} AS request")
+    answers = scoring.score_requests(rows, None, scorer=scoring.score_by_rule)
+    error = F.get_json_object("response", "$.error").alias("error")
+    return profile.value_counts(answers.select(error), "error")
+
+
 def describe_lineitem(spark, sf):
     return _described(table(spark, sf, "lineitem"), LINEITEM_NUMBERS)
 
@@ -471,9 +562,28 @@ def roc_auc_documents(spark, sf):
 
 
 def trained(spark, sf):
-    """(hold-out rows, models, leaderboard) of the full candidates over the telemetry."""
-    train, test = split.stratified_split(readings(spark, sf), "Reading_ID", "Failed")
-    models, board = training.train_candidates(train, test, max_fit_rows=MAX_FIT_ROWS)
+    """(hold-out rows, models, leaderboard) of the full candidates over the telemetry.
+
+    They are fitted once per table and application and saved in the shared folder, where
+    later queries load them. The leaderboard is written last and tells that all is there.
+    """
+    rows = readings(spark, sf)
+    train, test = split.stratified_split(rows, "Reading_ID", "Failed")
+    events = table(spark, sf, "events").select("event_id", "user_id")
+    content = events.agg(F.count("*"), F.bit_xor(F.xxhash64("*"))).first()
+    ensure_checkpoint_dir(spark)
+    shared = spark.sparkContext.getCheckpointDir()
+    folder = f"{shared}/models-{content[0]}-{content[1]}-{MAX_FIT_ROWS}"
+    try:
+        board = spark.read.parquet(f"{folder}/board")
+    except AnalysisException:
+        models, board = training.train_candidates(train, test, max_fit_rows=MAX_FIT_ROWS)
+        for name, model in models.items():
+            save_model(model, f"{folder}/{name.replace(' ', '-')}")
+        board.write.mode("overwrite").parquet(f"{folder}/board")
+        board = spark.read.parquet(f"{folder}/board")
+    names = training.candidates(1)
+    models = {name: load_model(f"{folder}/{name.replace(' ', '-')}") for name in names}
     return test, models, board
 
 
@@ -530,7 +640,8 @@ REGISTERED = [
     debounce, describe_lineitem, missing_counts_lineitem, value_counts_events,
     correlation_lineitem, box_stats_lineitem, box_stats_events, risk_score_lineitem,
     standardized_lineitem, one_hot_lineitem, binary_metrics_documents, roc_auc_documents,
-    train_compare, fleet_scoring,
+    train_compare, fleet_scoring, scoring_stream, quarantine_stream, quiet_stream,
+    summary_stream, incremental_summary, percent_text, thousands_text, request_errors,
 ]
 QUERIES = {f.__name__: f for f in REGISTERED}
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from devicepulse.functions.rules import risk_score, threshold_label
+from devicepulse.streaming.live import arriving
 
 EVENT = ["event_id", "user_id", "ts"]
 HASHES = {letter: f"md5(concat('{letter}', CAST(event_id AS STRING)))" for letter in "ab"}
@@ -45,9 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table, replayed as a stream. The pattern stands for a folder as well
+    as for one file, which alone would not do."""
+    return arriving(spark, f"{sf_dir}/{name}.parquet*", table(spark, sf_dir, name).schema)
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry with ``Reading_ID``, ``Reading_TS`` and the noise-free ``Risk_Score``."""
-    hashed = table(spark, sf_dir, "events").selectExpr(
+    return readings_of(table(spark, sf_dir, "events"))
+
+
+def readings_of(events: DataFrame) -> DataFrame:
+    """One reading per event, of a table or a stream."""
+    hashed = events.selectExpr(
         *EVENT, *[f"{hash_} AS h{letter}" for letter, hash_ in HASHES.items()]
     )
     words = hashed.selectExpr(*EVENT, f"inline(array(named_struct({WORD_ROW})))")

@@ -57,12 +57,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The name of a new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"
+
+
 def reread(df: DataFrame) -> DataFrame:
     """``df`` written once as parquet below the shared checkpoint folder and read again,
     so that later scans parse nothing and read only the columns they need."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
