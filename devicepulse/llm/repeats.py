@@ -16,7 +16,7 @@ the same document. Strings are judged on the input, and never cross documents.
    ``length`` bytes are equal, and all but the first of them are repeats.
 4. The spans of a document meet its text again and are cut out.
 
-Hot groups. A scan task merges its own equal contexts first, so that a text or passage
+Hot groups. A scan task merges the equal contexts of a batch first, so that a text or passage
 that very many documents hold reaches step 2 once per batch. A gram with more than ``MANY``
 contexts, or more than ``CROWD`` in one batch, is dealt out by context to as many salts as
 the shuffle has partitions; the first windows of its salts are then compared by 128-bit
@@ -48,8 +48,9 @@ from devicepulse.llm.suffixes import common_prefixes, suffix_order
 LENGTH = 100
 # Contexts of a gram from which it is salted: in all, and in one batch of texts.
 MANY, CROWD = 4_096, 64
-# Bytes of text hashed at once, and of contexts ordered at once.
-PIECE, ORDERED = 1 << 19, 1 << 22
+# Bytes of text hashed at once, of contexts ordered at once, and of texts or contexts in
+# one batch that a task passes on.
+PIECE, ORDERED, PASSED = 1 << 19, 1 << 21, 1 << 22
 # Places that are signs.
 TIED, CROWDED = -2, -1
 _SCATTER = 0x9E3779B1
@@ -157,6 +158,17 @@ def contexts(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     }
 
 
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``PASSED`` bytes of ``column``."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + PASSED, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _marks(rows: DataFrame, length: int, salts: int) -> DataFrame:
     """(``id``, ``tie``, ``place``, ``gram``, ``salt``, ``copy``) of the contexts that are
     copies of earlier ones, or the first of their kind below a gram of several."""
@@ -165,7 +177,7 @@ def _marks(rows: DataFrame, length: int, salts: int) -> DataFrame:
     schema = schema.add("salt", "integer").add("digest", "long")
 
     def batches(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in _parts(whole, "text")):
             order = [("id", "ascending"), ("tie", "ascending")]
             batch = batch.take(pc.sort_indices(batch, order, null_placement="at_start"))
             found = contexts(batch["text"].to_pylist(), length)
@@ -234,12 +246,12 @@ def _spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """(``id``, ``tie``, ``n``, ``z``): texts compressed for the shuffle."""
+    """(``id``, ``tie``, ``z``): texts compressed for the shuffle."""
     schema = StructType([rows.schema["id"]]).add("tie", "long").add("z", "binary")
 
     def batches(stream):
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in stream:
+        for batch in (part for whole in stream for part in _parts(whole, "text")):
             z = pa.array([pack.compress(t.as_py()) for t in batch["text"]], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["tie"], z], names=schema.names)
 
@@ -261,7 +273,7 @@ def _marked_texts(rows: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     schema = schema.add("stop", "long").add("gram", "long").add("salt", "integer").add("bytes", "binary")
 
     def batches(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in _parts(whole, "z")):
             row, out = [], []
             for at, (z, marks) in enumerate(zip(batch["z"], batch["marks"])):
                 marks = marks.values.flatten()
@@ -415,7 +427,7 @@ def without_repeats(
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def batches(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in _parts(whole, "z")):
             sizes, cuts, kept = [], [], []
             for z, spans in zip(batch["z"], batch["spans"]):
                 text = _unpacked(z)
