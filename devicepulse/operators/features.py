@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    OneHotEncoderModel,
+    StandardScaler,
+    StandardScalerModel,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +20,6 @@ from devicepulse import schema as S
 from devicepulse.functions.rules import known
 
 
-
 def select_features(
     df: DataFrame, cols: list[str] = S.FEATURES, label: str | None = S.LABEL
 ) -> DataFrame:
@@ -42,17 +50,23 @@ def standardize(
 
 
 def one_hot(
-    df: DataFrame, col: str, drop: str | None = "first", fit_on: DataFrame | None = None
+    df: DataFrame,
+    col: str,
+    drop: str | None = "first",
+    fit_on: DataFrame | None = None,
+    max_levels: int = 1_000,
 ) -> DataFrame:
     """Add a 0/1 column per level of ``col`` but the first in alphabetical order
     (``drop=None`` keeps it). A value that was not fitted, NULL too, is an error.
 
-    Each level is a column; for very many levels use the ML stages below, which make
-    one sparse vector instead.
+    Each level is a column. More than ``max_levels`` are refused, and no more than that
+    reach the driver: ``feature_stages`` makes one sparse vector of any number.
     """
     source = df if fit_on is None else fit_on
     found = source.where(F.col(col).isNotNull()).select(col).distinct()
-    levels = sorted(row[0] for row in found.collect())
+    levels = sorted(row[0] for row in found.limit(max_levels + 1).collect())
+    if len(levels) > max_levels:
+        raise ValueError(f"{col} has more than {max_levels} levels: use feature_stages")
     fitted = F.coalesce(F.col(col).isin(levels), F.lit(False))
     shown = F.coalesce(F.col(col).cast("string"), F.lit("NULL"))
     message = F.concat(F.lit(f"unknown {col}: "), shown)
@@ -117,3 +131,37 @@ def linear_score(cols: list[str], coefs: list[float], intercept: float) -> Colum
     for c, weight in zip(cols, coefs, strict=True):
         total = total + F.lit(float(weight)) * F.col(c)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+
+def linear_probability(model: PipelineModel) -> Column:
+    """The failure probability of a fitted linear model as one expression of the input
+    columns, with scaling and levels folded into the coefficients.
+
+    It runs where any expression does, in SQL text too, without the ML stages. A missing
+    reading or unknown level, which the stages refuse, gives NULL.
+    """
+    classifier = model.stages[-1]
+    if not isinstance(classifier, LogisticRegressionModel):
+        raise ValueError("not a linear model")
+    stages = {kind: [s for s in model.stages if isinstance(s, kind)] for kind in (
+        VectorAssembler, StandardScalerModel, StringIndexerModel, OneHotEncoderModel,
+    )}
+    numbers = stages[VectorAssembler][0].getInputCols()
+    (scaler,) = stages[StandardScalerModel]
+    weights = iter(classifier.coefficients.toArray().tolist())
+    total = F.lit(float(classifier.intercept))
+    for c, mean, std in zip(numbers, scaler.mean, scaler.std):
+        weight = next(weights) / std if std else 0.0 * next(weights)
+        total = total + (known(F.col(c)) - F.lit(float(mean))) * F.lit(weight)
+    encoded = {encoder.getInputCol() for encoder in stages[OneHotEncoderModel]}
+    for indexer in stages[StringIndexerModel]:
+        levels = indexer.labels
+        # The last level has no flag; one that is alone stays as its index, 0.
+        flagged = levels[:-1] if indexer.getOutputCol() in encoded else levels
+        given = F.col(indexer.getInputCol())
+        term = F.when(given.isin(levels), F.lit(0.0))
+        for i, level in enumerate(flagged):
+            weight = next(weights) * (1.0 if indexer.getOutputCol() in encoded else i)
+            term = F.when(given == level, F.lit(weight)).otherwise(term)
+        total = total + term
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))

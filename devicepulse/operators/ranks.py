@@ -9,7 +9,7 @@ rows, and the totals of the slices before it, one row per slice, are added.
 Quantiles first take sketches, which say between which values each of them must
 lie. Only values between those are told apart; all others are merely counted. So
 two scans and a small shuffle are enough, however many distinct values there are.
-The sketches of the scan tasks are merged in two steps, so no task meets all of them.
+The sketches of the scan tasks are merged level by level, so no task meets all of them.
 """
 
 from __future__ import annotations
@@ -92,8 +92,9 @@ def sketches(
     """One row per group and column: ``n``, ``mean``, sample deviation ``std``, ``min``,
     ``max`` and a KLL ``sketch`` of the values that are there.
 
-    One scan. Each of as many slots as the shuffle has partitions first combines the
-    sketches of its share of the scan tasks; a group then merges one row per slot.
+    One scan. The sketches of the scan tasks meet level by level: by slots, as many as the
+    shuffle has partitions, then by the remainder of the slot, then by group. A group reads
+    no more than ``fan_in`` of the slots at once.
     """
     by = names(by)
     slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -115,14 +116,28 @@ def sketches(
         for c in cols
     ]
     per_slot = numbers.groupBy(*by, "_slot").agg(F.array(*parts).alias("parts"))
-    per_slot = per_slot.select(*by, F.inline("parts"))
+    per_slot = per_slot.select(*by, "_slot", F.inline("parts"))
+    per_slot = per_slot.withColumn("_slot", F.pmod("_slot", F.lit(fan_in(slots))))
+    merged = _merged(_merged(per_slot, [*by, "column", "_slot"], size), [*by, "column"], size)
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("var") * (F.col("n") / (F.col("n") - 1))))
+    return merged.select(*by, "column", "n", "mean", std.alias("std"), "min", "max", "sketch")
+
+
+def fan_in(slots: int) -> int:
+    """How many parts the second level of ``sketches`` has: no merge reads more than this
+    number of sketches."""
+    return math.ceil(math.sqrt(slots))
+
+
+def _merged(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """One row per ``keys`` of ``n``, ``mean``, ``var``, ``min``, ``max`` and ``sketch``."""
     there = F.when(F.col("n") > 0, F.struct("n", "mean", "var"))
-    merged = per_slot.groupBy(*by, "column").agg(
+    merged = parts.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
         F.kll_merge_agg_double("sketch", size).alias("sketch"),
-        F.collect_list(there).alias("parts"),  # at most one per slot
+        F.collect_list(there).alias("parts"),  # at most one per sketch
     )
 
     def total(of):
@@ -130,8 +145,7 @@ def sketches(
 
     merged = merged.withColumn("mean", F.try_divide(total(lambda part: part["mean"]), F.col("n")))
     spread = total(lambda part: part["var"] + F.pow(part["mean"] - F.col("mean"), F.lit(2)))
-    std = F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1)))
-    return merged.select(*by, "column", "n", "mean", std.alias("std"), "min", "max", "sketch")
+    return merged.withColumn("var", F.try_divide(spread, F.col("n"))).drop("parts")
 
 
 def at_ranks(ranks: list[float]) -> Column:

@@ -476,6 +476,15 @@ SELECT Reading_ID, TRUE AS success, CAST(Risk_Score > {dbl(0.65)} AS INT) AS pre
     "scoring_stream": _answers(),
     "quarantine_stream": f"{DIRTY_ROWS} SELECT Reading_ID, CASE WHEN {_checks()} = '' THEN 'accepted' "
     f"ELSE 'rejected' END AS side, {_checks()} AS reasons FROM dirty",
+    "feature_vector": f"{VIEW}, stats AS (SELECT {Z_STATS.replace('stddev_pop', 'stddev_samp')} FROM r) "
+    "SELECT Reading_ID, "
+    + ", ".join(f"{r6(z)} AS z_{c}" for c, z in Z.items())
+    + f", {r6("CAST(Device_Type = 'Switch' AS DOUBLE)")} AS is_switch FROM r, stats",
+    "telemetry_files": missing(
+        f"{VIEW}, dirty AS (SELECT Device_ID, {DIRTY}, Failed FROM r)",
+        "dirty",
+        S.TELEMETRY.fieldNames(),
+    ),
     "summary_stream": summary("Device_Type"),
     "incremental_summary": summary("Device_Type"),
     "percent_text": f"{VIEW} SELECT Reading_ID, printf('%.2f%%', Interface_Errors / 700 * 100) AS percent FROM r",

@@ -189,3 +189,23 @@ def test_counts_and_shape(spark):
         *S.NUMERIC_FEATURES, "Failed",
     ]
     assert [r.v for r in profile.head(df.where("v > 0"), "v", 2).collect()] == [1.0, 1.0]
+
+
+def test_no_merge_reads_many_sketches(spark):
+    """A hundred slots meet ten by ten."""
+    assert [ranks.fan_in(n) for n in (1, 4, 100, 20_000)] == [1, 2, 10, 142]
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 100)
+    try:
+        df = spark.range(0, 30_000, 1, 120).selectExpr("CAST(id * 7919 % 30000 AS DOUBLE) AS x", "id % 2 AS g")
+        rows = ranks.sketches(df, ["x"], ["g"])
+        found = {r.g: r for r in rows.collect()}
+        exact = df.groupBy("g").agg(F.avg("x").alias("m"), F.stddev("x").alias("s"), F.count("x").alias("n")).collect()
+        for r in exact:
+            got = found[r.g]
+            assert got.n == r.n and abs(got["mean"] - r.m) < 1e-6 and abs(got["std"] - r.s) < 1e-6
+        quartiles = ranks.quantiles(df, ["x"], {"q": 0.5}).first()
+        assert quartiles.q == 14_999.5
+    finally:
+        spark.conf.set(name, before)

@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from devicepulse import schema as S
@@ -177,3 +180,27 @@ def test_kept_side_matches_null_keys(spark):
     right = left.groupBy("k").agg(F.count("*").alias("n"))
     joined = match(left, kept(right), ["k"]).collect()
     assert len(joined) == 50 and {r.n for r in joined} == {10}
+
+
+def test_many_levels_are_refused(spark):
+    df = spark.range(12).selectExpr("CAST(id AS STRING) AS level")
+    assert len(features.one_hot(df, "level", max_levels=12).columns) == 12
+    with pytest.raises(ValueError, match="feature_stages"):
+        features.one_hot(df, "level", max_levels=11)
+
+
+@pytest.mark.parametrize("levels", [["Router", "Switch"], ["Router"], ["a", "b", "c"]])
+def test_linear_model_as_a_column(spark, levels):
+    columns = "x double, y double, kind string, label int"
+    rows = [(float(i % 17), float(i * i % 23), levels[i % len(levels)], int(i % 17 > 9)) for i in range(200)]
+    df = spark.createDataFrame(rows, columns)
+    stages = features.fit_features(df, ["x", "y"], ["kind"])
+    fitted = LogisticRegression(labelCol="label", regParam=0.01).fit(stages.transform(df))
+    model = PipelineModel([*stages.stages, fitted])
+    p = features.linear_probability(model)
+    both = model.transform(df).select(vector_to_array("probability")[1].alias("p"), p.alias("q"))
+    assert all(abs(r.p - r.q) < 1e-12 for r in both.collect())
+    df.withColumn("q", p).createOrReplaceTempView("scored_by_column")
+    assert spark.sql("SELECT count(*) FROM scored_by_column WHERE q BETWEEN 0 AND 1").first()[0] == 200
+    odd = spark.createDataFrame([(None, 1.0, levels[0], 0), (1.0, 1.0, "?", 0), (float("nan"), 1.0, None, 0)], columns)
+    assert [r.q for r in odd.select(p.alias("q")).collect()] == [None] * 3
