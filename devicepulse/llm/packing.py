@@ -35,6 +35,7 @@ from pyspark.sql.types import StructType
 
 from devicepulse.llm.perword import REMEMBERED, PerWord
 from devicepulse.llm.shared import ranked, small_batches, written
+from devicepulse.llm.wordpieces import WordIds
 
 END_ID = 1
 # Steps of the search for fillings of one sequence, and completions tried in all.
@@ -50,13 +51,7 @@ def _encoder(path: str, remembered: int) -> PerWord:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-
-    def ids(words: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    return PerWord(ids, remembered)
+    return PerWord(WordIds(Tokenizer.from_file(path)), remembered)
 
 
 def pieces(

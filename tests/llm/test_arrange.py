@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from devicepulse.llm import mixing, packing, queries, sharding
+from devicepulse.llm.wordpieces import WordIds
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -197,3 +198,18 @@ def test_pipeline_takes_odd_rows(spark, sf_dir, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, sf_dir), "test")
         assert (docs.count() == 0) == (table is empty)
+
+
+def test_plain_words_take_the_model_alone():
+    """The ids are those of the tokenizer's full way, whatever the word."""
+    full = Tokenizer.from_file(PATH)
+    ids = WordIds(full)
+    assert ids.plain("Été.") and ids.plain("word") and not ids.plain("don't") and not ids.plain("x1")
+    words = [
+        "word", "Word", "WORD.", "Été", "ÀÿßÆ", "don't", "it's", "a'", "a's", "'s", "x1", "1x", "...", "", "a.b", "ſ", "K",
+        "é", "ǅ", "İ", "Σας", "ΑΣ", "日本", "a b", "a\tb", "<|endoftext|>", "a<|endoftext|>", "ab\"!?", "word" * 40,
+    ]
+    assert ids(words) == [np.array(e.ids, "<u4").tobytes() for e in full.encode_batch(words, add_special_tokens=False)]
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = WordIds(other)(words)
+    assert found == [np.array(e.ids, "<u4").tobytes() for e in other.encode_batch(words, add_special_tokens=False)]
