@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, StringType, StructType
+from pyspark.sql.types import BooleanType, StructType
 
 from devicepulse.llm.shared import components, same, small_batches, written
 from devicepulse.llm.words import WordHasher, mix
@@ -158,31 +158,33 @@ def _raw(text_col: str) -> Column:
     return F.coalesce(text_col, F.lit("")).cast("binary")
 
 
-@pandas_udf(StringType())
-def _node_of(text: pd.Series) -> pd.Series:
+@pandas_udf(StructType().add("n", "long").add("node", "string"))
+def _node_of(text: pd.Series) -> pd.DataFrame:
+    """Size and node of the set of each text; no node for the empty set."""
     sets = (shingles(words) for words in WordHasher().each(text))
-    return pd.Series([_node(s) if len(s) else None for s in sets], dtype=object)
+    rows = [(len(s), _node(s) if len(s) else None) for s in sets]
+    return pd.DataFrame(rows, columns=["n", "node"])
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``id``, ``n``, ``node``, ``bands``, ``sig``); NULL from ``node`` on if n is 0."""
+    """(``id``, ``n``, ``node``, ``bands``, ``sig``) of the rows whose set is not empty."""
     narrow = docs.select(F.col(id_col).alias("id"), _raw(text_col).alias("text"))
     schema = StructType([narrow.schema[0]]).add("n", "long").add("node", "string")
     schema = schema.add("bands", "binary").add("sig", "binary")
 
     def batches(frames):
         for frame in frames:
-            rows = []
+            rows, there = [], []
             for words in WordHasher().each(frame["text"]):
                 items = shingles(words)
+                there.append(len(items) > 0)
                 if not len(items):
-                    rows.append((0, None, None, None))
                     continue
                 least = minima(items)
                 sig = least.astype(np.uint8).tobytes()
                 rows.append((len(items), _node(items), band_keys(least).tobytes(), sig))
             out = pd.DataFrame(rows, columns=["n", "node", "bands", "sig"])
-            out.insert(0, "id", frame["id"])
+            out.insert(0, "id", frame["id"][np.array(there, bool)].reset_index(drop=True))
             yield out
 
     return narrow.mapInPandas(batches, schema)
@@ -205,11 +207,11 @@ def _bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SIEVE))
 
 
-def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``id`` is not in ``ids``. The sieve has a fixed
-    size; with very many ids it merely lets more rows through."""
-    bit = _bit("id")
-    pages = ids.groupBy(F.floor(bit / _PAGE).alias("page"))
+def _sieved(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``wanted``. The sieve has
+    a fixed size; with very many values it merely lets more rows through."""
+    bit = _bit(column)
+    pages = wanted.groupBy(F.floor(bit / _PAGE).alias("page"))
     pages = pages.agg(F.bitmap_construct_agg((bit % _PAGE).cast("long")).alias("bits"))
     sieve = np.zeros((SIEVE // _PAGE, _PAGE // 8), np.uint8)
     for row in pages.collect():  # at most SIEVE bits
@@ -229,7 +231,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, nums: DataFrame, id_col: str, text_
     wanted = written(nodes.select("num", "node", "least").join(nums, "num"), "wanted")
     texts = docs.select(F.col(id_col).alias("id"), _raw(text_col).alias("text"))
     ids = wanted.select(F.col("least").alias("id")).distinct()
-    found = same(_sieved(texts, ids), ids, ["id"]).select("text")
+    found = same(_sieved(texts, ids, "id"), ids, ["id"]).select("text")
 
     def batches(frames):
         for frame in frames:
@@ -238,8 +240,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, nums: DataFrame, id_col: str, text_
             yield pd.DataFrame(rows, columns=["node", "items"])
 
     made = found.mapInPandas(batches, "node string, items binary")
-    made = made.join(wanted.select("num", "node"), "node").groupBy("num")
-    return written(made.agg(F.first("items").alias("items")), "sets")
+    # A node has one number, so the sets are shuffled once.
+    made = made.groupBy("node").agg(F.first("items").alias("items"))
+    return written(made.join(wanted.select("num", "node"), "node").select("num", "items"), "sets")
 
 
 def _beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -289,10 +292,12 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Dat
     buckets = _in_buckets(nodes)
     heads = buckets.groupBy("bucket").agg(F.min("num").alias("head"), F.count("*").alias("size"))
     heads = written(heads.where("size > 1"), "heads")
-    shared = written(buckets.join(heads, "bucket"), "buckets")
+    shared = written(_sieved(buckets, heads, "bucket").join(heads, "bucket"), "buckets")
+    # Most nodes share no bucket: only the others are shuffled from here on.
+    busy = written(_sieved(nodes.drop("node", "least"), shared, "num"), "busy")
     sizes = 100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")
     stars = shared.where("num <> head").select(F.col("num").alias("a"), F.col("head").alias("b"))
-    stars = _beside(stars.distinct(), nodes, ["n", "sig"]).where(sizes)
+    stars = _beside(stars.distinct(), busy, ["n", "sig"]).where(sizes)
     stars = written(stars.where(_promising("a_sig", "b_sig")).select("a", "b"), "stars")
     links = _confirmed(stars, docs, nodes, id_col, text_col)
     roots = written(components(links, "stars"), "roots")
@@ -309,7 +314,7 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Dat
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     low, high = F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high")
     dealt = dealt.select("bucket", "band", low, high, "own", "num", "root")
-    dealt = dealt.join(nodes.select("num", "n", "sig", "bands"), "num").join(sets, "num")
+    dealt = dealt.join(busy.select("num", "n", "sig", "bands"), "num").join(sets, "num")
     rest = dealt.groupBy("bucket", "low", "high").applyInPandas(_across, "a long, b long")
     more = written(rest.distinct(), "rest")
     return components(links.unionByName(more), "documents")
@@ -327,8 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    rows = written(_signed(docs, id_col, text_col), "signed")
-    nodes = rows.where("n > 0").groupBy("node")
+    nodes = _signed(docs, id_col, text_col).groupBy("node")
     nodes = nodes.agg(
         *[F.first(c).alias(c) for c in ("n", "bands", "sig")], F.min("id").alias("least")
     )
@@ -340,7 +344,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     known = known.withColumn("root", F.coalesce("root", "num"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     known = written(known.join(least, "root").select("node", "root", "component_id"), "known")
-    joined = rows.select("id", "n", "node").join(known, "node", "left")
+    rows = docs.select(F.col(id_col).alias("id"), _node_of(_raw(text_col)).alias("of"))
+    joined = rows.select("id", "of.n", "of.node").join(known, "node", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return joined.select("id", "n", "node", "root", component.alias("component_id"))
 
@@ -352,7 +357,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays = decided.groupBy("root").agg(F.min(F.struct("id", "node")).alias("stays"))
     stays = stays.select(F.col("stays.id").alias(id_col), F.col("stays.node").alias("node"))
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    tagged = docs.select(id_col, _node_of(_raw(text_col)).alias("node"), row.alias("row"))
+    tagged = docs.select(id_col, _node_of(_raw(text_col))["node"].alias("node"), row.alias("row"))
     found = same(tagged, stays, [id_col, "node"]).groupBy(id_col, "node").agg(F.first("row").alias("row"))
     found = found.select("row").unionByName(tagged.where("node IS NULL").select("row"))
     return found.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
