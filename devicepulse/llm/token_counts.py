@@ -6,8 +6,9 @@ longest pieces at the front of its string are taken; how many these are is store
 the link. So each byte is read once and no piece is built.
 
 Text is lower-cased and split into runs of letters, single digits and runs of other
-characters, none of which holds white space; a piece counts wherever in a word it
-stands. A word with a byte that no piece covers counts as one token.
+characters, none of which holds white space. Where the vocabulary marks word ends, the
+last byte of a word is a symbol of its own: marked pieces match there alone, others only
+before it. A word with a byte that no piece covers counts as one token.
 
 Results that are defined for odd input: NULL and empty text has no tokens; very long
 texts are read whole; repeated rows get equal counts; an empty table gives no rows;
@@ -19,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,18 +32,20 @@ from devicepulse.llm.shared import small_batches
 
 WORD = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 ROOT, NOWHERE = 0, -1
+# A byte that ends a word is this much above its value.
+LAST = 256
 
 
 class LongestMatch:
-    """Greedy counts over a vocabulary of non-empty byte strings."""
+    """Greedy counts over a vocabulary of non-empty strings of bytes, last bytes or both."""
 
-    def __init__(self, pieces: list[bytes]):
+    def __init__(self, pieces: list[Sequence[int]]):
         self.child: dict[int, int] = {}
         whole, made = set(), [(ROOT, 0, ROOT)]  # (parent, byte, node), parents first
-        for piece in sorted(set(pieces), key=len):
+        for piece in sorted({tuple(p) for p in pieces}, key=len):
             node = ROOT
             for byte in piece:
-                step = node << 8 | byte
+                step = node << 9 | byte
                 if step not in self.child:
                     self.child[step] = len(made)
                     made.append((node, byte, len(made)))
@@ -56,22 +60,22 @@ class LongestMatch:
                 self.link[node], self.popped[node] = ROOT, 1
                 continue
             at, count = self.link[parent], self.popped[parent]
-            while at != NOWHERE and (at << 8 | byte) not in self.child:
+            while at != NOWHERE and (at << 9 | byte) not in self.child:
                 at, count = self.link[at], count + self.popped[at]
             if at != NOWHERE:
-                self.link[node], self.popped[node] = self.child[at << 8 | byte], count
+                self.link[node], self.popped[node] = self.child[at << 9 | byte], count
 
-    def count(self, word: bytes) -> int:
+    def count(self, word: Sequence[int]) -> int:
         """How many pieces the greedy match takes; 1 if it cannot cover ``word``."""
         child, link, popped, node, count = self.child, self.link, self.popped, ROOT, 0
         for byte in word:
-            step = child.get(node << 8 | byte)
+            step = child.get(node << 9 | byte)
             while step is None:
                 count += popped[node]
                 node = link[node]
                 if node == NOWHERE:
                     return 1
-                step = child.get(node << 8 | byte)
+                step = child.get(node << 9 | byte)
             node = step
         while node != ROOT:
             count += popped[node]
@@ -89,26 +93,41 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def vocabulary(path: str) -> list[bytes]:
-    """The byte strings of a byte-level vocabulary file, without marks of word ends and
-    special tokens."""
+def ended(word: bytes) -> tuple[int, ...]:
+    """The bytes of a non-empty word, its last one as a last byte."""
+    return (*word[:-1], word[-1] + LAST)
+
+
+def vocabulary(path: str) -> tuple[list[tuple[int, ...]], bool]:
+    """The pieces of a byte-level vocabulary file without special tokens, and whether
+    the file marks those that end a word."""
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
     special = {t["content"] for t in data.get("added_tokens", [])}
+    mark = data["model"].get("end_of_word_suffix") or ""
     byte = _byte_of_char()
-    pieces = (p.removesuffix("</w>") for p in data["model"]["vocab"] if p not in special)
-    return [bytes(byte[c] for c in p) for p in pieces if p]
+    pieces = []
+    for piece in data["model"]["vocab"].keys() - special:
+        ends = bool(mark) and piece.endswith(mark)
+        raw = bytes(byte[c] for c in (piece.removesuffix(mark) if ends else piece))
+        if raw:
+            pieces.append(ended(raw) if ends else tuple(raw))
+    return pieces, bool(mark)
 
 
 @functools.lru_cache(maxsize=2)
 def _counter(path: str) -> PerWord:
     """Kept by a Python worker for all its tasks."""
-    automaton = LongestMatch(vocabulary(path))
-    known = functools.lru_cache(maxsize=200_000)(automaton.count)
+    pieces, marked = vocabulary(path)
+    automaton = LongestMatch(pieces)
+
+    @functools.lru_cache(maxsize=200_000)
+    def known(part: str) -> int:
+        raw = part.encode("utf-8", "surrogatepass")
+        return automaton.count(ended(raw) if marked else raw)
 
     def count(word: str) -> int:
-        parts = WORD.findall(word.lower())
-        return sum(known(p.encode("utf-8", "surrogatepass")) for p in parts)
+        return sum(map(known, WORD.findall(word.lower())))
 
     return PerWord(lambda words: [count(w) for w in words])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -131,16 +132,47 @@ def test_longest_match_is_greedy():
             assert match.count(word) == greedy(word, pieces, 5), (pieces, word)
 
 
+def marked_greedy(word, inner, ending):
+    """Greedy match that keeps pieces for word ends apart from all others."""
+    count, at = 0, 0
+    while at < len(word):
+        if word[at:] in ending:
+            return count + 1
+        # The others have to leave a byte for the end.
+        size = next((n for n in range(len(word) - at - 1, 0, -1) if word[at : at + n] in inner), 0)
+        if not size:
+            return 1
+        at, count = at + size, count + 1
+    return count
+
+
+def test_longest_match_keeps_marks():
+    draw = random.Random(9)
+    for _ in range(60):
+        inner, ending = (
+            {bytes(draw.choices(b"abc", k=draw.randint(1, 5))) for _ in range(10)} for _ in range(2)
+        )
+        match = token_counts.LongestMatch([*inner, *map(token_counts.ended, ending)])
+        for _ in range(60):
+            word = bytes(draw.choices(b"abc", k=draw.randint(1, 14)))
+            found = match.count(token_counts.ended(word))
+            assert found == marked_greedy(word, inner, ending), (inner, ending, word)
+
+
 def test_token_counts(documents, odd, empty):
-    pieces = set(token_counts.vocabulary(PATH))
-    longest = max(map(len, pieces))
+    with open(PATH, encoding="utf-8") as file:
+        names = json.load(file)["model"]["vocab"]
+    byte = token_counts._byte_of_char()
+    inner = {bytes(byte[c] for c in n) for n in names if "</w>" not in n and "<|" not in n}
+    ending = {bytes(byte[c] for c in n[:-4]) for n in names if n.endswith("</w>") and n != "</w>"}
+    assert len(ending) > 30_000
     for r in token_counts.token_counts(odd, PATH).collect():
         if r.doc_id in (3, 4, 5):
             assert r.n_tokens == 0
     texts = {r.doc_id: r.text or "" for r in documents.collect()}
     for r in token_counts.token_counts(documents, PATH).collect():
         words = token_counts.WORD.findall(texts[r.doc_id].lower())
-        assert r.n_tokens == sum(greedy(w.encode(), pieces, longest) for w in words)
+        assert r.n_tokens == sum(marked_greedy(w.encode(), inner, ending) for w in words)
     assert token_counts.token_counts(empty, PATH).count() == 0
 
 
