@@ -18,6 +18,14 @@ def remainder(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
+def usable(labels: DataFrame, label: str, learn: Column, id_col: str) -> DataFrame:
+    """(``id`` as text, ``y``) of the labels 0 and 1 where ``learn`` holds; an id that has
+    both labels counts as 0."""
+    kept = labels.where(learn).where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
+    ids = kept.select(F.col(id_col).cast("string").alias("id"), F.col(label).cast("int").alias("y"))
+    return ids.groupBy("id").agg(F.min("y").alias("y"))
+
+
 def sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -25,33 +33,25 @@ def sample(
     learn: Column,
     *,
     max_rows: int,
-    max_chars: int,
     id_col: str,
     text_col: str,
-) -> tuple[pd.DataFrame, dict[int, int]]:
-    """Up to ``max_rows`` labelled texts per class, and how many labels each class has.
+) -> tuple[DataFrame, dict[int, int]]:
+    """(``text``, ``y``), the distinct texts of up to ``max_rows`` labels per class, and
+    how many labels each class has.
 
     Taken are the labels with the smallest hash of their id among those where ``learn``
-    holds, and of these the texts of at most ``max_chars`` characters, once for each
-    (id, text). So the sample is bounded by its parameters, whatever the size of the
-    tables, and is the same in each run.
+    holds, so the sample is bounded by its parameter and the same in each run. Texts of
+    any length are taken whole and stay in the tasks. A text with both labels counts as 0.
     """
-    usable = labels.where(learn).where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
-    usable = usable.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
-    totals = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    parts = [
-        usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-        for y in (0, 1)
-    ]
-    chosen = parts[0].unionByName(parts[1]).toPandas().drop_duplicates("id")
-    spark = docs.sparkSession
+    known = usable(labels, label, learn, id_col)
+    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows) for y in (0, 1)]
     # At most 2 * max_rows ids.
-    ids = F.broadcast(spark.createDataFrame(chosen, "id long, y int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = texts.where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).join(ids, "id")
-    found = found.select("id", "y", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = found.toPandas()
-    return rows.sort_values(["id", "text"], ignore_index=True), totals
+    ids = F.broadcast(parts[0].unionByName(parts[1]))
+    texts = docs.select(
+        F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
+    return texts.join(ids, "id").groupBy("text").agg(F.min("y").alias("y")), totals
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

@@ -3,8 +3,8 @@
 Each document is described by how its bytes, words, lines and sentences are made up. In
 a preference pair a good document is preferred to a bad one; the weights minimise the
 logistic loss of the differences of their features. The threshold is the quantile of
-the learned values that leaves the labelled share of good documents above it, and the
-score is placed so that this threshold is at ``CUT``.
+the learned values of all documents to learn from that leaves the labelled share of good
+ones above it, and the score is placed so that this threshold is at ``CUT``.
 
 Results that are defined for odd input: NULL and empty text has the features 0; a very
 long text is read whole; repeated rows get equal scores; without labels of both classes
@@ -18,10 +18,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devicepulse.llm.labelled import logistic, remainder, sample, scored, squash
+from devicepulse.llm.labelled import logistic, remainder, sample, scored, squash, usable
+from devicepulse.llm.shared import small_batches
 from devicepulse.llm.words import WordHasher
 
 CUT = 0.7
@@ -81,43 +83,67 @@ class QualityModel:
         return [squash(v) for v in self.worth(texts) + lift]
 
 
-def fit(rows, totals: dict[int, int], pairs: int = 60_000, ridge: float = 20.0) -> QualityModel:
-    """A model from labelled ``rows`` (``text``, ``y``); ``totals`` are the sizes of the
-    classes. ``pairs`` preference pairs are drawn with a fixed seed."""
-    all_labels = sum(totals.values())
-    constant = totals.get(1, 0) / all_labels if all_labels else 0.5
-    rows = rows.drop_duplicates("text")
-    if set(rows["y"]) != {0, 1}:
+def fit(
+    x: np.ndarray, y: np.ndarray, constant: float, pairs: int = 60_000, ridge: float = 20.0
+) -> QualityModel:
+    """A model, still without its threshold, from the ``features`` of documents and their
+    labels. ``pairs`` preference pairs are drawn with a fixed seed."""
+    if set(y.tolist()) != {0, 1}:
         return QualityModel(constant)
-    x, y = features(rows["text"].tolist()), rows["y"].to_numpy()
     model = QualityModel(constant, x.mean(0), x.std(0) + 1e-6)
     x = (x - model.mean) / model.scale
     draw = np.random.default_rng(10)
     good = draw.choice(np.flatnonzero(y == 1), pairs)
     bad = draw.choice(np.flatnonzero(y == 0), pairs)
     model.weights = logistic(x[good] - x[bad], np.ones(pairs), np.ones(pairs), ridge)
-    worth = x @ model.weights
-    weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-    order = np.argsort(worth, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    model.threshold = float(worth[order][np.searchsorted(below, 1 - constant)])
     return model
 
 
+def _described(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The features and labels of a bounded sample; no text leaves the tasks."""
+
+    def batches(frames):
+        for frame in frames:
+            rows = features(frame["text"].tolist()).tolist()
+            yield pd.DataFrame({"key": frame["key"], "y": frame["y"], "x": rows})
+
+    keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("key"), "y", "text")
+    rows = keyed.mapInPandas(batches, "key string, y int, x array<double>").toPandas()
+    rows = rows.sort_values("key")
+    return np.array(rows["x"].tolist(), float), rows["y"].to_numpy(int)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
     *,
     max_rows: int = 4_000,
-    max_chars: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> QualityModel:
-    """Fit on at most ``max_rows`` labelled documents per class, of at most ``max_chars``
-    characters each. The rows with remainder 2 of 4 are held out."""
+    """Weights from at most ``max_rows`` labelled documents per class, and the threshold
+    from the values of all labelled documents, up to 1e-5 of their ranks. The rows with
+    remainder 2 of 4 are held out. Texts are read whole, those with equal values fall on
+    the same side of the threshold, and ids may be of any type."""
+    small_batches(docs.sparkSession)
     learn = remainder(id_col, 4) != 2
-    bounds = dict(max_rows=max_rows, max_chars=max_chars, id_col=id_col, text_col=text_col)
-    return fit(*sample(docs, labels, "quality", learn, **bounds))
+    texts, totals = sample(
+        docs, labels, "quality", learn, max_rows=max_rows, id_col=id_col, text_col=text_col
+    )
+    all_labels = sum(totals.values())
+    constant = totals.get(1, 0) / all_labels if all_labels else 0.5
+    if set(totals) != {0, 1}:
+        return QualityModel(constant)
+    model = fit(*_described(texts), constant)
+    if model.weights is not None:
+        # Values first, so that the join moves no texts.
+        known = usable(labels, "quality", learn, id_col)
+        valued = scored(docs, model.worth, id_col, text_col).select(
+            F.col(id_col).cast("string").alias("id"), "score"
+        )
+        cut = F.percentile_approx("score", 1 - constant, 100_000)
+        model.threshold = float(valued.join(known, "id").agg(cut).first()[0])
+    return model
 
 
 def quality(

@@ -197,25 +197,53 @@ def test_classifiers_on_odd_rows(spark, odd, empty, module, label):
     assert score(empty, module.train(empty, some)).count() == 0
 
 
-def test_toxicity_learns_marking_words():
+@pytest.mark.parametrize("ratio", [10, 20, 25, 40])
+def test_toxicity_learns_marking_words(spark, ratio):
+    """Words that are ``ratio`` times as frequent in toxic documents."""
     draw = random.Random(7)
     words = ["".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(2000)]
     marks = ["zzgrim", "zzfoul", "zzmean"]
 
     def text(toxic):
         parts = draw.choices(words, k=draw.randint(20, 300))
-        for _ in range(3 * toxic):
-            parts[draw.randrange(len(parts))] = draw.choice(marks)
+        for _ in range(3):
+            if toxic or draw.random() < 1 / ratio:
+                parts[draw.randrange(len(parts))] = draw.choice(marks)
         return " ".join(parts)
 
-    import pandas as pd
-
-    y = [int(i % 4 == 0) for i in range(600)]
-    rows = pd.DataFrame({"text": [text(t) for t in y], "y": y})
-    model = toxicity.fit(rows, {0: 450, 1: 150})
-    new = [(t, text(t)) for t in (0, 1) * 100]
+    rows = [(text(t), t) for t in (1, 0, 0, 0) * 300]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, y int"), {0: 900, 1: 300})
+    new = [(t, text(t)) for t in (0, 1) * 200]
     scores = model.score([x for _, x in new])
-    assert sum((s >= 0.7) == t for s, (t, _) in zip(scores, new)) >= 190
+    bad = [s for s, (t, _) in zip(scores, new) if t]
+    good = [s for s, (t, _) in zip(scores, new) if not t]
+    above = sum((b > g) + (b == g) / 2 for b in bad for g in good)
+    assert above >= 0.98 * len(bad) * len(good)
+
+
+@pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_learn_from_string_ids_and_long_texts(spark, module, label):
+    """All texts are long, the ids are no numbers, and the caller has further columns."""
+    good, bad = "The river runs past the old mill. " * 900, "zzgrim 77 !! zzfoul $$ " * 1400
+    rows = [(f"n-{i}", f"{bad if i % 2 else good} t{i}", i % 2) for i in range(90)]
+    docs = spark.createDataFrame([(*r[:2], "x") for r in rows], "doc_id string, text string, y string")
+    flags = [(r[0], r[2] if label == "toxic" else 1 - r[2]) for r in rows]
+    model = module.train(docs, spark.createDataFrame(flags, f"doc_id string, {label} int"))
+    assert model.weights is not None and len(model.weights)
+    score = module.toxicity if module is toxicity else module.quality
+    found = {r.doc_id: r.score for r in score(docs, model).collect()}
+    assert sum((found[i] >= 0.7) == y for i, y in flags) >= 85
+
+
+def test_quality_threshold_is_over_all_labels(spark):
+    """The fit sees few rows per class; the threshold the whole share of good ones."""
+    rows = [(i, f"word{i % 97} " * (5 + i % 61), int(i % 61 >= 20)) for i in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels, max_rows=40)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    worth = model.worth([r[1] for r in learned])
+    assert abs((worth > model.threshold).mean() - sum(r[2] for r in learned) / len(learned)) < 0.02
 
 
 def test_held_out_quality(spark, sf_dir):
