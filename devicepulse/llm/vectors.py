@@ -1,15 +1,19 @@
-"""Near-duplicate vectors: all pairs, or hashed passes where those are cheaper.
+"""Near-duplicate vectors by sorted projection passes.
+
+Each pass hashes a vector by random projections with random shifts, cut into cells, and
+sorts all vectors of one length by their concatenated hashes. Every vector is compared
+with the next ``WINDOW`` of this order. Vectors that share the whole front of a pass, its
+first hashes, lie side by side; a stretch of them that is longer than the window is
+compared whole, in tiles where it is long, so a crowd of any size loses nothing. The
+verified pairs of all passes are united to components. A task passes on which of its
+vectors are connected, not its pairs.
 
-The vectors of one length are compared all with all, in tiles, as long as this costs no
-more than hashing them. Otherwise each pass puts them into cells of random projections
-with random shifts, and all vectors of a bucket are compared, whatever its size. What
-the chance to share a bucket depends on is the distance of two vectors alone, not where
+The chance that two vectors share the front depends on their distance alone, not on where
 they lie or how dense it is there, so the number of passes follows from the cell width,
-the number of projections and ``miss``: each pair of the threshold or above is met by
-some pass but for a chance of at most ``miss``. Width and number of projections are the
-cheapest for the crowding that a sample of the vectors shows; the sample decides about
-costs only. The verified pairs are united to components. A tile passes on which of its
-vectors are connected, not its pairs.
+the length of the front and ``miss``: each pair of the threshold or above is met by some
+pass but for a chance of at most ``miss``. Of all widths and lengths with this promise the
+cheapest for the crowding that a sample of the vectors shows are taken; the sample decides
+about costs only. An order that fits into one window is compared whole in its one pass.
 
 The links of each vector are counted at the end by comparing the blocks of its component
 with each other, exactly.
@@ -20,7 +24,8 @@ multiplicity, so copies are neither hashed nor compared again.
 Results that are defined for odd input: vectors that are NULL, empty, zero or hold NULL
 or non-finite components, and vectors of different lengths, link with nothing; NULL ids
 count as links but never name a component unless all its ids are NULL; repeated rows
-are copies; an empty table gives no rows; other columns are ignored.
+are copies, and so are rows that share an id; ties in an order come by their hash; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,46 +36,56 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import FloatType, StructType
 
 from devicepulse.llm.shared import components, ranked, written
 
 BLOCK = 512
-# Sizes of a tile: vectors at most, bytes at most, and tiles that a bucket has at least
-# where it is larger than that many blocks.
-TILE, TILE_BYTES, TILES = 32_768, 1 << 24, 8
+# Later neighbours in the order of a pass that a vector is compared with at least.
+WINDOW = 512
+# Places of an order that one task compares, and hashes behind the front that order them.
+RUN, FINER = 8_192, 4
+# Sizes of a tile: vectors at most, bytes at most.
+TILE, TILE_BYTES = 32_768, 1 << 24
 # Comparisons that cost as much as moving a vector to a further task.
 SHIP = 8_192
 # Vectors of one length that decide about the cells, and the draws they are tried on.
 SAMPLE, DRAWS = 1_024, 4
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """The rows in double precision and of length one; not finite where that fails."""
+    rows = rows.astype(np.float64)
+    with np.errstate(all="ignore"):
+        rows /= np.abs(rows).max(axis=1, keepdims=True, initial=0)  # squares do not overflow
+        rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows + 0.0
+
+
 def _units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(``id``, ``node``, ``dim``, ``unit``): the vector scaled to length one as bytes and
-    their 128-bit hash; NULL for a vector that links with nothing."""
+    """(``id``, ``node``, ``dim``, ``raw``): the vector as bytes in its own precision, and
+    a 128-bit hash of it scaled to length one; NULL for one that links with nothing."""
+    kind = _precision(vectors, vec_col)
     narrow = vectors.select(
         F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")
     )
     schema = StructType([narrow.schema[0]])
-    schema = schema.add("node", "string").add("dim", "integer").add("unit", "binary")
+    schema = schema.add("node", "string").add("dim", "integer").add("raw", "binary")
 
     def unit(vec) -> tuple:
-        if vec is None:
+        if vec is None or not len(vec):
             return (None, None, None)
-        vec = np.array(vec, float)  # a NULL component becomes NaN
-        with np.errstate(all="ignore"):
-            vec = vec / np.abs(vec).max(initial=0)  # so that squares do not overflow
-            vec = vec / np.sqrt((vec * vec).sum())
-        if not len(vec) or not np.isfinite(vec).all():
+        vec = np.array(vec, float).astype(kind)  # a NULL component becomes NaN
+        whole = _scaled(vec[None])
+        if not np.isfinite(whole).all():
             return (None, None, None)
-        data = (vec + 0.0).tobytes()
-        return (xxhash.xxh3_128_hexdigest(data), len(vec), data)
+        return (xxhash.xxh3_128_hexdigest(whole.tobytes()), len(vec), vec.tobytes())
 
     def batches(frames):
         for frame in frames:
-            out = pd.DataFrame(map(unit, frame["vec"]), columns=["node", "dim", "unit"])
+            out = pd.DataFrame(map(unit, frame["vec"]), columns=["node", "dim", "raw"])
             out["dim"] = out["dim"].astype("Int32")
             out.insert(0, "id", frame["id"])
             yield out
@@ -78,6 +93,11 @@ def _units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return narrow.mapInPandas(batches, schema)
 
 
+def _precision(vectors: DataFrame, vec_col: str) -> str:
+    """What the components are moved as: no more bytes than they come with."""
+    return "f4" if isinstance(vectors.schema[vec_col].dataType.elementType, FloatType) else "f8"
+
+
 @dataclass(frozen=True)
 class Cells:
     """``passes`` times ``number`` projections, cut into cells of ``width``."""
@@ -86,13 +106,18 @@ class Cells:
     number: int
     passes: int
 
-    def keys(self, units: np.ndarray, seed: int, p: int) -> np.ndarray:
-        """The bucket of each vector in pass ``p``."""
+    def keys(self, units: np.ndarray, seed: int, p: int) -> tuple[list[bytes], list[bytes]]:
+        """Front and finer rest of the concatenated hashes in pass ``p``; their bytes sort
+        like the hashes."""
         draw = np.random.default_rng([seed, p, units.shape[1]])
-        cells = _cells(units, self.width, self.number, draw)
-        odd = draw.integers(1 << 62, size=self.number) * 2 + 1
-        with np.errstate(over="ignore"):
-            return (cells * odd).sum(axis=1)  # buckets that meet are compared together
+        front = _cells(units, self.width, self.number, draw)
+        rest = _cells(units, self.width / 4, FINER, draw)
+        return _sortable(front), _sortable(rest)
+
+
+def _sortable(cells: np.ndarray) -> list[bytes]:
+    half = 1 << 31  # cells beyond it share the outermost one
+    return [row.tobytes() for row in (cells.clip(-half, half - 1) + half).astype(">u4")]
 
 
 def _cells(units: np.ndarray, width: float, number: int, draw) -> np.ndarray:
@@ -100,6 +125,10 @@ def _cells(units: np.ndarray, width: float, number: int, draw) -> np.ndarray:
     return np.floor(units @ lines / width + draw.random(number)).astype(np.int64)
 
 
+# A front without hashes: all vectors are one stretch.
+WHOLE = Cells(1.0, 0, 1)
+
+
 def _together(u: float) -> float:
     """The chance that a projection keeps two vectors in one cell that is ``u`` times as
     wide as their distance; the nearer, the more."""
@@ -108,13 +137,12 @@ def _together(u: float) -> float:
 
 def cheapest(
     units: np.ndarray, n: int, threshold: float, miss: float, ship: float = SHIP
-) -> Cells | None:
-    """Cells for ``n`` vectors of which ``units`` is a sample; None where comparing all
-    of them costs less."""
+) -> Cells:
+    """The cheapest cells for ``n`` vectors of which ``units`` is a sample."""
     reach = math.sqrt(max(2 - 2 * threshold, 1e-12)) * (1 + 1e-9)
-    best, found = n + ship * math.ceil(n / TILE), None
+    best, found = math.inf, WHOLE
     above = np.triu_indices(len(units), 1)
-    for u in (2, 3, 4, 6, 8, 12):
+    for u in (2, 3, 4, 6, 8, 12, 16, 24):
         shared = np.zeros(48)
         for d in range(DRAWS):
             cells = _cells(units, u * reach, len(shared), np.random.default_rng([d, 1]))
@@ -126,47 +154,42 @@ def cheapest(
         for k, crowd in enumerate(shared, 1):
             kept = _together(u) ** k
             passes = max(1, math.ceil(math.log(miss) / math.log1p(-kept)))
-            cost = passes * (crowd * n + ship)
+            cost = passes * (crowd * n + 2 * WINDOW + ship)
             if cost < best:
                 best, found = cost, Cells(u * reach, k, passes)
     return found
 
 
-def _plans(nodes: DataFrame, threshold: float, miss: float) -> dict[int, Cells]:
-    """The cells of each length of vectors that is worth hashing."""
+def _plans(nodes: DataFrame, kind: str, threshold: float, miss: float) -> dict[int, Cells]:
+    """The cells of each length of which one window does not hold all vectors."""
     plans = {}
-    # Below this number no cells are cheaper than all pairs.
-    counts = nodes.groupBy("dim").count().where(F.col("count") > 4 * SHIP).collect()
-    for dim, n in counts:
-        some = nodes.where(F.col("dim") == dim).orderBy("node").select("unit").limit(SAMPLE)
-        cells = cheapest(_matrix(some.toPandas()), n, threshold, miss)
-        if cells:
-            plans[dim] = cells
+    for dim, n in nodes.groupBy("dim").count().where(F.col("count") > WINDOW).collect():
+        some = nodes.where(F.col("dim") == dim).orderBy("node").select("raw").limit(SAMPLE)
+        plans[dim] = cheapest(_matrix(some.toPandas(), kind), n, threshold, miss)
     return plans
 
 
-def _buckets(nodes: DataFrame, plans: dict[int, Cells], seed: int) -> DataFrame:
-    """(``pass``, ``dim``, ``key``, ``node``): each node with its bucket in each pass."""
+def _keys(nodes: DataFrame, kind: str, plans: dict[int, Cells], seed: int) -> DataFrame:
+    """(``pass``, ``dim``, ``front``, ``rest``, ``node``): each node's hashes in each pass."""
 
     def batches(frames):
         for frame in frames:
             for dim, some in frame.groupby("dim"):
-                cells, names = plans.get(dim), some["node"].to_numpy()
-                if cells is None:
-                    yield pd.DataFrame({"pass": 0, "dim": dim, "key": 0, "node": names})
-                    continue
-                units = _matrix(some)
+                cells, units = plans.get(dim, WHOLE), _matrix(some, kind)
                 for p in range(cells.passes):
-                    keys = cells.keys(units, seed, p)
-                    yield pd.DataFrame({"pass": p, "dim": dim, "key": keys, "node": names})
+                    front, rest = cells.keys(units, seed, p)
+                    yield pd.DataFrame(
+                        {"pass": p, "dim": dim, "front": front, "rest": rest, "node": some["node"]}
+                    )
 
-    return nodes.select("node", "dim", "unit").mapInPandas(
-        batches, "pass int, dim int, key long, node string"
+    return nodes.select("node", "dim", "raw").mapInPandas(
+        batches, "pass int, dim int, front binary, rest binary, node string"
     )
 
 
-def _matrix(frame: pd.DataFrame) -> np.ndarray:
-    return np.stack([np.frombuffer(u) for u in frame["unit"]])
+def _matrix(frame: pd.DataFrame, kind: str) -> np.ndarray:
+    """The vectors of ``raw``, scaled."""
+    return _scaled(np.stack([np.frombuffer(r, kind) for r in frame["raw"]]))
 
 
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,56 +206,113 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _connected(threshold: float, cells: int = 1 << 22):
-    """Of two tiles of a bucket, or one: each vector with the first one it is connected
-    to. ``cells`` products are in memory at once."""
+def _connected(threshold: float, kind: str, cells: int = 1 << 22):
+    """Each vector of a run of an order, or of two tiles of a long stretch or one, with the
+    first one it is connected to. ``cells`` products are in memory at once."""
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        *_, low, high = key
-        frame = pd.concat([frame[frame["own"] == t] for t in dict.fromkeys((low, high))])
-        units, nodes = _matrix(frame), frame["node"].to_numpy()
-        n, left = len(nodes), int((frame["own"] == low).sum())
+        _, _, start, low, high = key
+        if start == RUNS:
+            frame = frame.sort_values("place")
+            own = int((frame["place"] // frame["run"].max()).eq(low).sum())
+            front = frame["front"].to_numpy()
+            ends = np.append(np.flatnonzero(front[1:] != front[:-1]) + 1, len(front))
+            ends = ends[np.searchsorted(ends, np.arange(len(front)), "right")]
+            first, step = 0, BLOCK
+        else:
+            frame = pd.concat([frame[frame["own"] == t] for t in dict.fromkeys((low, high))])
+            own = int((frame["own"] == low).sum())
+            first = 0 if low == high else own
+            step = max(1, cells // max(1, len(frame) - first))
+        units, nodes = _matrix(frame, kind), frame["node"].to_numpy()
+        n = len(nodes)
         label = np.arange(n)
-        first = 0 if low == high else left
-        step = max(1, cells // max(1, n - first))
-        for i in range(0, left, step):
-            near = units[i : min(i + step, left)] @ units[first:].T >= threshold
+        for i in range(0, own, step):
+            j = min(i + step, own)
+            left, right = first, n
+            if start == RUNS:  # all that follow in the window or share the front
+                left, right = i, max(min(j + WINDOW, n), ends[j - 1])
+            near = units[i:j] @ units[left:right].T >= threshold
             a, b = near.nonzero()
-            label = _unite(label, a + i, b + first)
+            label = _unite(label, a + i, b + left)
         joined = label != np.arange(n)
         return pd.DataFrame({"a": nodes[joined], "b": nodes[label[joined]]})
 
     return compare
 
 
-def _links(nodes: DataFrame, threshold: float, miss: float, seed: int) -> DataFrame:
-    """Connected pairs (``a``, ``b``) of all buckets."""
-    by = ["pass", "dim", "key"]
-    keys = written(_buckets(nodes, _plans(nodes, threshold, miss), seed), "keys")
+# Stands for the start of a stretch where a run of the order is meant.
+RUNS = -1
+
+
+def _vectors_at_once(most: int) -> Column:
+    """Vectors of length ``dim`` that a task takes: ``most``, fewer if they are long."""
+    return F.greatest(F.lit(WINDOW), F.least(F.lit(most), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim")))))
+
+
+def _links(nodes: DataFrame, kind: str, threshold: float, miss: float, seed: int) -> DataFrame:
+    """Connected pairs (``a``, ``b``) of all passes.
+
+    A run of the order and the window after it go to one task, which also compares the
+    stretches inside. Of those stretches that no run holds whole and no window spans, the
+    tiles are compared with each other. Which these are follows from the fronts at
+    the ends of the runs, so no key of the join or the window is hot.
+    """
+    by = ["pass", "dim"]
+    keys = written(_keys(nodes, kind, _plans(nodes, kind, threshold, miss), seed), "keys")
     keys = keys.withColumn("one", F.lit(1).cast("long"))
-    placed = ranked(keys, by, ["node"], ["one"], "buckets").where("one_total > 1")
-    most = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim")))))
-    tiles = F.greatest(
-        F.ceil(F.col("one_total") / most), F.least(F.lit(TILES), F.ceil(F.col("one_total") / BLOCK))
+    place, zero = F.col("one_before").alias("place"), F.lit(0).cast("long")
+    placed = ranked(keys, by, ["front", "rest", "node"], ["one"], "orders").where("one_total > 1")
+    placed = placed.select(*by, "front", "node", place, _vectors_at_once(RUN).alias("run"))
+    placed = placed.withColumn("at", F.floor(F.col("place") / F.col("run")))
+    # The runs, each with the window that follows it.
+    after = (F.col("at") > 0) & (F.col("place") % F.col("run") < WINDOW)
+    runs = F.when(after, F.array(F.col("at") - 1, "at")).otherwise(F.array("at"))
+    run = F.explode(runs).alias("low")
+    in_runs = placed.select(*by, F.lit(RUNS).cast("long").alias("start"), run, "place", "run", "front", "node")
+    in_runs = in_runs.select("*", F.col("low").alias("high"), zero.alias("own"))
+    # The long stretches that cross a boundary of runs.
+    parts = placed.groupBy(*by, "front", "at", "run").agg(
+        F.count("*").alias("n"), F.min("place").alias("least"), F.max("place").alias("last")
+    )
+    parts = parts.where((F.col("least") % F.col("run") == 0) | ((F.col("last") + 1) % F.col("run") == 0))
+    stretch = Window.partitionBy(*by, "front")
+    parts = parts.select(
+        *by,
+        "front",
+        "at",
+        F.sum("n").over(stretch).alias("total"),
+        F.min("least").over(stretch).alias("start"),
+        F.count("*").over(stretch).alias("crossed"),
+    )
+    parts = parts.where((F.col("crossed") > 1) & (F.col("total") > WINDOW))
+    crossing = placed.join(parts, [*by, "front", "at"])
+    tiles = F.ceil(F.col("total") / _vectors_at_once(TILE))
+    own = F.floor((F.col("place") - F.col("start")) * tiles / F.col("total"))
+    dealt = crossing.select("*", own.alias("own"), F.explode(F.sequence(zero, tiles - 1)).alias("other"))
+    in_tiles = dealt.select(
+        *in_runs.columns[:3],
+        F.least("own", "other").alias("low"),
+        "place",
+        "run",
+        F.lit(None).cast("binary").alias("front"),
+        "node",
+        F.greatest("own", "other").alias("high"),
+        "own",
     )
-    own = F.floor(F.col("one_before") * tiles / F.col("one_total"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other")
-    dealt = placed.select(*by, "node", own.alias("own"), others)
-    pairs = dealt.select(
-        *by, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node"
-    ).join(nodes.select("node", "unit"), "node")
-    return pairs.groupBy(*by, "low", "high").applyInPandas(
-        _connected(threshold), "a string, b string"
+    tasks = in_runs.unionByName(in_tiles).join(nodes.select("node", "raw"), "node")
+    return tasks.groupBy(*by, "start", "low", "high").applyInPandas(
+        _connected(threshold, kind), "a string, b string"
     )
 
 
-def _count_links(threshold: float):
+def _count_links(threshold: float, kind: str):
     """Of two blocks of a component, or one: the links of each vector to the other block."""
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key
         left, right = frame[frame["own"] == low], frame[frame["own"] == high]
-        near = _matrix(left) @ _matrix(right).T >= threshold
+        near = _matrix(left, kind) @ _matrix(right, kind).T >= threshold
         if low == high:
             np.fill_diagonal(near, False)
         sums = [(left, near @ right["copies"].to_numpy())]
@@ -252,20 +332,20 @@ def near_vectors(
     vec_col: str = "embedding",
 ) -> DataFrame:
     """Per row of ``vectors``: id, ``n_links``, ``component_id`` and ``kept``. A link that
-    is alone between two components is found but for a chance of at most ``miss``, and
-    always where all pairs are compared."""
+    is alone between two components is found but for a chance of at most ``miss``."""
+    kind = _precision(vectors, vec_col)
     rows = written(_units(vectors, id_col, vec_col), "units")
     valid = rows.where(F.col("node").isNotNull())
     nodes = written(
         valid.groupBy("node").agg(
             F.first("dim").alias("dim"),
-            F.first("unit").alias("unit"),
+            F.first("raw").alias("raw"),
             F.count("*").alias("copies"),
             F.min("id").alias("least"),
         ),
         "nodes",
     )
-    linked = written(components(_links(nodes, threshold, miss, seed), "vectors"), "roots")
+    linked = written(components(_links(nodes, kind, threshold, miss, seed), "vectors"), "roots")
     members = linked.join(nodes.select("node", "least"), "node")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     # Links inside components, block by block.
@@ -278,9 +358,9 @@ def near_vectors(
     )
     pairs = placed.select(
         "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node"
-    ).join(nodes.select("node", "unit", "copies"), "node")
+    ).join(nodes.select("node", "raw", "copies"), "node")
     counted = pairs.groupBy("root", "low", "high").applyInPandas(
-        _count_links(threshold), "node string, links long"
+        _count_links(threshold, kind), "node string, links long"
     )
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     found = (
