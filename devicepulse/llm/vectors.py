@@ -206,6 +206,18 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def _near(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that reach the threshold. Products in single precision decide
+    all but those that their rounding error leaves open."""
+    slack = (left.shape[1] + 8) * 2.0**-23
+    rough = left.astype(np.float32) @ right.astype(np.float32).T
+    a, b = (rough >= threshold - slack).nonzero()
+    sure = rough[a, b] >= threshold + slack
+    for open_ in np.array_split((~sure).nonzero()[0], 1 + (~sure).sum() // 65_536):
+        sure[open_] = (left[a[open_]] * right[b[open_]]).sum(axis=1) >= threshold
+    return a[sure], b[sure]
+
+
 def _connected(threshold: float, kind: str, cells: int = 1 << 22):
     """Each vector of a run of an order, or of two tiles of a long stretch or one, with the
     first one it is connected to. ``cells`` products are in memory at once."""
@@ -232,8 +244,7 @@ def _connected(threshold: float, kind: str, cells: int = 1 << 22):
             left, right = first, n
             if start == RUNS:  # all that follow in the window or share the front
                 left, right = i, max(min(j + WINDOW, n), ends[j - 1])
-            near = units[i:j] @ units[left:right].T >= threshold
-            a, b = near.nonzero()
+            a, b = _near(units[i:j], units[left:right], threshold)
             label = _unite(label, a + i, b + left)
         joined = label != np.arange(n)
         return pd.DataFrame({"a": nodes[joined], "b": nodes[label[joined]]})
@@ -255,7 +266,7 @@ def _links(nodes: DataFrame, kind: str, threshold: float, miss: float, seed: int
 
     A run of the order and the window after it go to one task, which also compares the
     stretches inside. Of those stretches that no run holds whole and no window spans, the
-    tiles are compared with each other. Which these are follows from the fronts at
+    tiles are compared with each other, and only their ends go to the runs as well. Which these are follows from the fronts at
     the ends of the runs, so no key of the join or the window is hot.
     """
     by = ["pass", "dim"]
@@ -265,12 +276,6 @@ def _links(nodes: DataFrame, kind: str, threshold: float, miss: float, seed: int
     placed = ranked(keys, by, ["front", "rest", "node"], ["one"], "orders").where("one_total > 1")
     placed = placed.select(*by, "front", "node", place, _vectors_at_once(RUN).alias("run"))
     placed = placed.withColumn("at", F.floor(F.col("place") / F.col("run")))
-    # The runs, each with the window that follows it.
-    after = (F.col("at") > 0) & (F.col("place") % F.col("run") < WINDOW)
-    runs = F.when(after, F.array(F.col("at") - 1, "at")).otherwise(F.array("at"))
-    run = F.explode(runs).alias("low")
-    in_runs = placed.select(*by, F.lit(RUNS).cast("long").alias("start"), run, "place", "run", "front", "node")
-    in_runs = in_runs.select("*", F.col("low").alias("high"), zero.alias("own"))
     # The long stretches that cross a boundary of runs.
     parts = placed.groupBy(*by, "front", "at", "run").agg(
         F.count("*").alias("n"), F.min("place").alias("least"), F.max("place").alias("last")
@@ -286,7 +291,19 @@ def _links(nodes: DataFrame, kind: str, threshold: float, miss: float, seed: int
         F.count("*").over(stretch).alias("crossed"),
     )
     parts = parts.where((F.col("crossed") > 1) & (F.col("total") > WINDOW))
-    crossing = placed.join(parts, [*by, "front", "at"])
+    placed = placed.join(parts, [*by, "front", "at"], "left")
+    # The runs, each with the window that follows it. What lies deep inside a crossing
+    # stretch has its whole window there.
+    end = F.col("start") + F.col("total")
+    deep = (F.col("place") >= F.col("start") + WINDOW) & (F.col("place") < end - WINDOW)
+    after = (F.col("at") > 0) & (F.col("place") % F.col("run") < WINDOW)
+    runs = F.when(after, F.array(F.col("at") - 1, "at")).otherwise(F.array("at"))
+    shallow = placed.where(~F.coalesce(deep, F.lit(False))).withColumn("low", F.explode(runs))
+    in_runs = shallow.select(
+        *by, F.lit(RUNS).cast("long").alias("start"), "low", "place", "run", "front", "node"
+    )
+    in_runs = in_runs.select("*", F.col("low").alias("high"), zero.alias("own"))
+    crossing = placed.where(F.col("start").isNotNull())
     tiles = F.ceil(F.col("total") / _vectors_at_once(TILE))
     own = F.floor((F.col("place") - F.col("start")) * tiles / F.col("total"))
     dealt = crossing.select("*", own.alias("own"), F.explode(F.sequence(zero, tiles - 1)).alias("other"))

@@ -246,6 +246,17 @@ def test_single_precision_vectors(spark):
     assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
 
 
+def test_pairs_at_the_threshold():
+    """Pairs nearer to the threshold than single precision can tell are decided in double."""
+    left = hot_cone(300, 0)
+    right = 0.95 * left + math.sqrt(1 - 0.95**2) * np.roll(left, 1, 0)
+    right /= np.linalg.norm(right, axis=1, keepdims=True)
+    exact = (left[:, None, :] * right[None, :, :]).sum(axis=2)
+    for threshold in (0.95, float(np.median(exact)), float(exact[3, 3])):
+        found = set(zip(*(x.tolist() for x in vectors._near(left, right, threshold))))
+        assert found == set(zip(*(x.tolist() for x in (exact >= threshold).nonzero())))
+
+
 def test_sorted_keys():
     """Bytes of the keys sort like the hashes."""
     cells = np.array([[-3, 5], [-3, -1], [1 << 40, 0], [0, 0], [-(1 << 40), 9]])
