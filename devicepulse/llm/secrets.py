@@ -3,17 +3,21 @@
 The patterns label credentials: values assigned to telling names, access keys and long
 hexadecimal runs. From a bounded sample of each kind a probabilistic automaton is
 inferred: its prefix tree, in which states whose frequencies differ by no more than a
-Hoeffding bound allows are merged. A further automaton stands for ordinary runs of the
-same characters; sampled runs that a credential automaton explains as well as it does
-labelled credentials are no part of it. Every run in every text that no pattern covers is
-then scored by the bits per character by which the best credential automaton explains it
+Hoeffding bound allows are merged. A state also has the probability that a token ends
+there, and a format explains no token that is shorter or longer than all its labelled
+ones. A further automaton stands for ordinary runs of the same characters, at least half
+as long as the shortest labelled credential; sampled runs that a credential automaton explains as well as it does labelled credentials
+are no part of it. Every run of the characters of the patterns, dots inside it included,
+that some format may explain is then scored in every text, unless a pattern covers it
+whole: by the bits per character by which the best credential automaton explains it
 better than the ordinary one. The threshold is a quantile of the scores of all distinct
-runs below those of labelled credentials, so it does not move with the number of bare
-credentials, and runs that reach it become spans of kind ``grammar``. Spans count code points and exclude their
-end.
+such runs below those of labelled credentials, so it does not move with the number of
+bare credentials, and runs that reach it become spans of kind ``grammar``. Spans count
+code points and exclude their end.
 
 Results that are defined for odd input: NULL and empty text has no spans; very long
-texts are read whole; repeated rows get equal spans; a kind without enough labelled
+texts are read whole; repeated rows get equal spans; samples are the tokens of smallest
+hash, ties by the token itself; a kind without enough labelled
 examples has no automaton, and without any no ``grammar`` span is made; an empty table
 gives no rows; other columns are ignored.
 """
@@ -44,8 +48,10 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 # Every match of HEX or ACCESS that is kept lies in such a run.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ("passw", "secret", "token", "key")
-# Runs that are scored.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# Runs that may be scored: the characters of ASSIGN, dots between others only, and at
+# least its least length.
+CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_.=-]{6})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+MOST = 1 << 62  # no run is longer
 ORDINARY = "ordinary"
 ADDED = "grammar"
 
@@ -68,33 +74,48 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     return [(start, BASE[kind], end, token) for start, kind, end, token in sorted(found)]
 
 
-def candidates(text: str, base: list[tuple[int, str, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, run) of the runs that overlap no base span."""
+def candidates(
+    text: str, base: list[tuple[int, str, int, str]], lengths: tuple[int, int] = (6, MOST)
+) -> list[tuple[int, int, str, bool]]:
+    """(start, end, run, free) of the runs that no base span covers whole and whose length
+    is in ``lengths``; ``free`` where they overlap none."""
     out, i = [], 0
     covered = sorted((start, end) for start, _, end, _ in base)
     reach = 0
+    least, most = lengths
     for m in CANDIDATE.finditer(text):
-        while i < len(covered) and covered[i][0] < m.end():
-            reach = max(reach, covered[i][1])
-            i += 1
-        if reach <= m.start():
-            out.append((m.start(), m.end(), m[0]))
+        start, end = m.span()
+        free = True
+        if covered:
+            while i < len(covered) and covered[i][0] <= start:
+                reach = max(reach, covered[i][1])
+                i += 1
+            if reach >= end:
+                continue
+            free = reach <= start and (i == len(covered) or covered[i][0] >= end)
+        if least <= end - start <= most:
+            out.append((start, end, m[0], free))
     return out
 
 
 @dataclass
 class Automaton:
-    """States 0, 1, …: how often each was visited and was the end, and its steps."""
+    """States 0, 1, …: how often each was visited and was the end, and its steps; the
+    lengths that its tokens have."""
 
     visits: list[int] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
     steps: list[dict[str, tuple[int, int]]] = field(default_factory=list)  # to, count
+    lengths: tuple[int, int] = (0, 0)
 
-    # Bits that a character costs which the state has not seen.
+    # Bits that a character or an end costs which the state has not seen.
     UNSEEN = 12.0
 
+    def allows(self, token: str) -> bool:
+        return self.lengths[0] <= len(token) <= self.lengths[1]
+
     def bits(self, token: str) -> float:
-        """Negative log2 likelihood of ``token`` per character."""
+        """Negative log2 likelihood of ``token`` and its end per character."""
         state, total = 0, 0.0
         for char in token:
             step = self.steps[state].get(char)
@@ -103,6 +124,8 @@ class Automaton:
             else:
                 total += math.log2((self.visits[state] + 1) / step[1])
                 state = step[0]
+        ends = self.ends[state]
+        total += math.log2((self.visits[state] + 1) / ends) if ends else self.UNSEEN
         return total / len(token)
 
 
@@ -180,6 +203,7 @@ def infer(tokens: list[str], alpha: float = 0.05) -> Automaton:
         [visits[s] for s in kept],
         [ends[s] for s in kept],
         [{c: (number[t], count[s][c]) for c, t in child[s].items()} for s in kept],
+        (min(map(len, tokens)), max(map(len, tokens))),
     )
 
 
@@ -194,8 +218,14 @@ class FormatModel:
     threshold: float = math.inf
 
     def gain(self, token: str) -> float:
-        """Bits per character by which a credential format explains ``token`` better."""
-        return self.ordinary.bits(token) - min(f.bits(token) for f in self.formats)
+        """Bits per character by which a credential format explains ``token`` better;
+        minus infinity where none has tokens of this length."""
+        bits = min((f.bits(token) for f in self.formats if f.allows(token)), default=math.inf)
+        return self.ordinary.bits(token) - bits if bits < math.inf else -math.inf
+
+    def lengths(self) -> tuple[int, int]:
+        """Least and greatest length of what may have a gain."""
+        return min(f.lengths[0] for f in self.formats), max(f.lengths[1] for f in self.formats)
 
 
 LEAST_GAIN = 1.0
@@ -223,7 +253,7 @@ def fit(samples: dict[str, list[str]], least: int = 5, quantile: float = 0.999)
     for tokens, whole in zip(kinds, formats):
         half = infer(tokens[::2]) if len(tokens) >= 4 * least else whole
         unseen.append([(t, half.bits(t)) for t in tokens[1::2]])
-    own = {t: [f.bits(t) for f in formats] for t in plain}
+    own = {t: [f.bits(t) if f.allows(t) else math.inf for f in formats] for t in plain}
 
     def lows(ordinary: Automaton) -> list[float]:
         return [_low([ordinary.bits(t) - bits for t, bits in some]) for some in unseen]
@@ -250,19 +280,17 @@ def fit(samples: dict[str, list[str]], least: int = 5, quantile: float = 0.999)
     return model
 
 
-def examples(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text"):
-    """Up to ``size`` distinct tokens per kind, those with the smallest hashes in the
-    whole table. Every batch keeps as many per kind, so little is moved."""
+def _sample(docs: DataFrame, kinds: tuple[str, ...], tokens, size: int, text_col: str) -> dict[str, list[str]]:
+    """Up to ``size`` distinct tokens per kind of what ``tokens`` makes of each text, those
+    with the smallest hashes in the whole table. Every batch keeps as many per kind, so
+    little is moved."""
 
     def batches(frames):
         for frame in frames:
-            best: dict[str, dict[int, str]] = {k: {} for k in (*BASE, ORDINARY)}
+            best: dict[str, dict[int, str]] = {k: {} for k in kinds}
             for text in frame["text"]:
-                base = base_spans(text)
-                for _, kind, _, token in base:
+                for kind, token in tokens(text):
                     best[kind][xxhash.xxh64_intdigest(token) >> 1] = token
-                for _, _, token in candidates(text, base):
-                    best[ORDINARY][xxhash.xxh64_intdigest(token) >> 1] = token
             rows = [
                 (kind, h, found[h])
                 for kind, found in best.items()
@@ -275,18 +303,40 @@ def examples(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     found = texts.mapInPandas(batches, "kind string, hash long, token string")
     found = written(found, "tokens").distinct()
     out = {}
-    for kind in (*BASE, ORDINARY):
+    for kind in kinds:
         top = found.where(F.col("kind") == kind).orderBy("hash", "token").limit(size)
         out[kind] = [r.token for r in top.collect()]
     return out
 
 
+def examples(docs: DataFrame, size: int, least: int = 5, text_col: str = "text") -> dict[str, list[str]]:
+    """Up to ``size`` distinct tokens per kind, and as many ordinary runs, at least half as
+    long as the shortest token of the kinds with ``least`` or more."""
+
+    def labelled(text):
+        return ((kind, token) for _, kind, _, token in base_spans(text))
+
+    out = _sample(docs, BASE, labelled, size, text_col)
+    sizes = [len(t) for tokens in out.values() if len(tokens) >= least for t in tokens]
+    if not sizes:
+        return out
+    lengths = min(sizes) // 2, MOST
+
+    def ordinary(text):
+        runs = candidates(text, base_spans(text), lengths)
+        return ((ORDINARY, token) for *_, token, free in runs if free)
+
+    return out | _sample(docs, (ORDINARY,), ordinary, size, text_col)
+
+
 def all_gains(docs: DataFrame, model: FormatModel, text_col: str = "text") -> DataFrame:
-    """``gain`` of every distinct candidate (``hash``) of all texts."""
+    """``gain`` of every distinct candidate (``hash``) of all texts, those too short for
+    any format by half or more left out."""
+    lengths = (model.lengths()[0] // 2, MOST)
 
     def batches(frames):
         for frame in frames:
-            runs = {t for text in frame["text"] for *_, t in candidates(text, base_spans(text))}
+            runs = {t for text in frame["text"] for *_, t, _ in candidates(text, base_spans(text), lengths)}
             rows = [(xxhash.xxh64_intdigest(t) >> 1, model.gain(t)) for t in runs]
             yield pd.DataFrame(rows, columns=["hash", "gain"])
 
@@ -302,8 +352,8 @@ def train(
     the gains of all distinct candidates below those of labelled tokens."""
     model = fit(examples(docs, size, **columns), quantile=quantile)
     if model.formats:
-        gains = all_gains(docs, model, columns.get("text_col", "text"))
-        below = gains.where(F.col("gain") < model.sure)
+        gains = all_gains(docs, model, **columns)
+        below = gains.where((F.col("gain") < model.sure) & (F.col("gain") > -math.inf))
         cut = below.agg(F.percentile_approx("gain", quantile, 100_000)).first()[0]
         model.threshold = LEAST_GAIN if cut is None else max(LEAST_GAIN, cut)
     return model
@@ -317,6 +367,7 @@ def find_secrets(
     narrow = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     span = StructType().add("kind", "string").add("start", "long").add("end", "long")
     schema = StructType([narrow.schema[0]]).add("spans", ArrayType(span))
+    lengths = model.lengths() if model.formats else (1, 0)
 
     def batches(frames):
         for frame in frames:
@@ -325,7 +376,7 @@ def find_secrets(
             for text in frame["text"]:
                 base = base_spans(text)
                 spans = [(start, BASE.index(kind), end, kind) for start, kind, end, _ in base]
-                for start, end, token in candidates(text, base) if model.formats else ():
+                for start, end, token, _ in candidates(text, base, lengths) if model.formats else ():
                     if token not in known:
                         known[token] = model.gain(token) >= model.threshold
                     if known[token]:

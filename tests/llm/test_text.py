@@ -105,6 +105,44 @@ def test_threshold_covers_all_candidates(spark):
     assert not any(found[:600]) and sum(found[600:]) >= 0.98 * len(bare)
 
 
+def test_candidates_are_whole():
+    """Short and dotted runs, and runs beyond a base span; none that a base span covers."""
+    def runs(text):
+        return [(t, free) for *_, t, free in secrets.candidates(text, secrets.base_spans(text))]
+
+    assert runs("pw hunter2A9xQ here abc.defghijklmnop.qrst. short.") == [
+        ("hunter2A9xQ", True), ("abc.defghijklmnop.qrst", True)
+    ]
+    assert runs("token=abcdefgh token: 'abc.d-f'") == []
+    assert runs("id_" + "0f" * 13 + "-tail") == [("id_" + "0f" * 13 + "-tail", False)]
+    assert runs("mytoken=abcdefgh é123456é 12345") == [("mytoken=abcdefgh", False), ("123456", True)]
+
+
+def test_short_dotted_and_cut_keys(spark):
+    draw = random.Random(21)
+
+    def short():
+        return "".join(draw.choices("BCDFGHJK", k=4)) + "".join(draw.choices("23456789", k=4))
+
+    def dotted():
+        return ".".join("".join(draw.choices("QXZ7", k=6)) for _ in range(3))
+
+    def words(k):
+        return "".join(draw.choices(["ther", "ing", "and", "ation", "est"], k=k))
+
+    texts = [f"token={short()}" for _ in range(300)] + [f"secret: {dotted()}" for _ in range(300)]
+    texts += [f"see {words(draw.randint(2, 6))} here." for _ in range(600)]
+    bare = [f"see {make()} here." for make in (short, dotted) for _ in range(20)]
+    odd = [f"see {cut} here." for _ in range(20) for cut in (short()[:6], dotted()[:13] * 2)]
+    docs = spark.createDataFrame(list(enumerate(texts + bare + odd)), "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in secrets.find_secrets(docs, secrets.train(docs)).collect()}
+    added = [[(s["start"], s["end"]) for s in rows[i] if s["kind"] == "grammar"] for i in range(len(rows))]
+    assert added[:1200] == [[]] * 1200
+    whole = [[(4, len(t) - 6)] for t in bare]
+    assert sum(a == b for a, b in zip(added[1200:1240], whole)) >= 38
+    assert added[1240:] == [[]] * 40
+
+
 def test_secrets_of_odd_rows(spark, odd, empty):
     model = secrets.train(odd)
     assert not model.formats
