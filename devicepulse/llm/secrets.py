@@ -5,8 +5,8 @@ hexadecimal runs. From a bounded sample of each kind a probabilistic automaton i
 inferred: its prefix tree, in which states whose frequencies differ by no more than a
 Hoeffding bound allows are merged. A state also has the probability that a token ends
 there, and a format explains no token that is shorter or longer than all its labelled
-ones. A further automaton stands for ordinary runs of the same characters, at least half
-as long as the shortest labelled credential; sampled runs that a credential automaton explains as well as it does labelled credentials
+ones. A further automaton stands for ordinary runs of the same characters, first of all
+those at least half as long as the shortest labelled credential; sampled runs that a credential automaton explains as well as it does labelled credentials
 are no part of it. Every run of the characters of the patterns, dots inside it included,
 that some format may explain is then scored in every text, unless a pattern covers it
 whole: by the bits per character by which the best credential automaton explains it
@@ -310,8 +310,9 @@ def _sample(docs: DataFrame, kinds: tuple[str, ...], tokens, size: int, text_col
 
 
 def examples(docs: DataFrame, size: int, least: int = 5, text_col: str = "text") -> dict[str, list[str]]:
-    """Up to ``size`` distinct tokens per kind, and as many ordinary runs, at least half as
-    long as the shortest token of the kinds with ``least`` or more."""
+    """Up to ``size`` distinct tokens per kind, and as many ordinary runs: those at least
+    half as long as the shortest token of the kinds with ``least`` or more, then shorter
+    ones."""
 
     def labelled(text):
         return ((kind, token) for _, kind, _, token in base_spans(text))
@@ -320,13 +321,14 @@ def examples(docs: DataFrame, size: int, least: int = 5, text_col: str = "text")
     sizes = [len(t) for tokens in out.values() if len(tokens) >= least for t in tokens]
     if not sizes:
         return out
-    lengths = min(sizes) // 2, MOST
+    half, kinds = min(sizes) // 2, (ORDINARY, "short")
 
     def ordinary(text):
-        runs = candidates(text, base_spans(text), lengths)
-        return ((ORDINARY, token) for *_, token, free in runs if free)
+        runs = candidates(text, base_spans(text))
+        return ((kinds[len(token) < half], token) for *_, token, free in runs if free)
 
-    return out | _sample(docs, (ORDINARY,), ordinary, size, text_col)
+    plain = _sample(docs, kinds, ordinary, size, text_col)
+    return out | {ORDINARY: [t for kind in kinds for t in plain[kind]][:size]}
 
 
 def all_gains(docs: DataFrame, model: FormatModel, text_col: str = "text") -> DataFrame:
