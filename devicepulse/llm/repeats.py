@@ -19,8 +19,9 @@ the same document. Strings are judged on the input, and never cross documents.
 Hot groups. A scan task merges the equal contexts of a batch first, so that a text or passage
 that very many documents hold reaches step 2 once per batch. A gram with more than ``MANY``
 contexts, or more than ``CROWD`` in one batch, is dealt out by context to as many salts as
-the shuffle has partitions; the first windows of its salts are then compared by 128-bit
-digest, at most one per salt and string. No link is dropped for it.
+the shuffle has partitions. If more than ``MANY`` contexts that are no copies are left of
+it, step 3 deals them out too, and the first windows of its salts are then compared by
+128-bit digest, at most one per salt and string. No link is dropped for it.
 
 Texts are shuffled compressed. Order of documents: by id, NULL first; rows that repeat an
 id by a 64-bit hash of their texts. Results that are defined for odd input: NULL text is
@@ -224,15 +225,20 @@ def _marks(rows: DataFrame, length: int, salts: int) -> DataFrame:
         (F.count("*").over(all_of) > MANY).alias("many"),
         F.bool_or(F.col("place") == CROWDED).over(all_of).alias("told"),
     )
-    hot = (F.col("salt") > 0) | F.col("many") | F.col("told")
-    to_order = hot | F.col("several") | F.col("tied")
-    return marked.where("place >= 0").where(F.col("copy") | to_order).select(
-        "id",
-        "tie",
-        "place",
-        "gram",
-        F.when(hot, 1 + F.pmod("digest", F.lit(salts))).otherwise(0).cast("int").alias("salt"),
-        "copy",
+    warm = (F.col("salt") > 0) | F.col("many") | F.col("told")
+    to_order = warm | F.col("several") | F.col("tied")
+    marked = marked.where("place >= 0").where(F.col("copy") | to_order).select(
+        "id", "tie", "place", "gram", "digest", "copy", warm.alias("warm")
+    )
+    marked = written(marked, "marks")
+    # A crowd in one batch may be all there is: only grams that have many contexts once
+    # the copies are told are dealt out.
+    hot = marked.where("warm AND NOT copy").groupBy("gram").count().where(F.col("count") > MANY)
+    hot = hot.select("gram", F.lit(True).alias("hot"))
+    marked = marked.join(hot, "gram", "left")
+    salt = F.when(F.col("hot") & ~F.col("copy"), 1 + F.pmod("digest", F.lit(salts)))
+    return marked.select(
+        "id", "tie", "place", "gram", F.coalesce(salt, F.lit(0)).cast("int").alias("salt"), "copy"
     )
 
 

@@ -108,3 +108,26 @@ def test_repeated_rows_and_other_ids(spark):
     assert kept[2] == kept[3] == 0
     assert got == {("b", 147, 0), ("a", 150, kept[1]), (None, 120, kept[0])}
     assert repeats.without_repeats(docs).count() == 5
+
+
+def test_a_crowd_of_one_batch_is_ordered_whole(spark, monkeypatch):
+    """Near copies crowd a batch with contexts of one gram. While these are not more than
+    ``MANY``, no window of theirs is passed on by itself."""
+    monkeypatch.setattr(repeats, "CROWD", 2)
+    tables = {}
+
+    def seen(df, tag):
+        tables[tag] = written(df, tag)
+        return tables[tag]
+
+    written = repeats.written
+    monkeypatch.setattr(repeats, "written", seen)
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefgh "), 120))
+    rows = [(i, text + f"{i:05d}" + text[::-1]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(repeats.without_repeats(docs)) == brute(rows, 100)
+    assert tables["repeats"].where("digest IS NOT NULL").count() == 0
+    monkeypatch.setattr(repeats, "MANY", 20)
+    assert found(repeats.without_repeats(docs)) == brute(rows, 100)
+    assert tables["repeats"].where("digest IS NOT NULL").count() > 0
