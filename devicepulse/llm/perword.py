@@ -13,7 +13,7 @@ STEP = 1 << 20
 
 
 class PerWord:
-    """``function`` gets a list of distinct words and returns a value for each."""
+    """``function`` gets a list of distinct words and returns a value, not None, for each."""
 
     def __init__(self, function: Callable[[list[str]], list], remembered: int = REMEMBERED):
         self.function, self.remembered = function, remembered
@@ -32,18 +32,22 @@ class PerWord:
         yield from self._several(batch)
 
     def _several(self, batch: list[list[str]]) -> Iterator[list]:
-        words = set().union(*batch)
         if len(self.known) > self.remembered:
             # Words that are met again move on, the others are forgotten in time.
             self.known, self.older = {}, self.known
-        missing = words - self.known.keys()
+        values = self.known
+        # Most words are remembered, so all are looked up once; gaps are filled afterwards.
+        found = [list(map(values.get, words)) for words in batch]
+        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else [] for f in found]
+        missing = {words[i] for words, places in zip(batch, gaps) for i in places}
         again = missing & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
+        values.update((w, self.older[w]) for w in again)
         new = list(missing - again)
-        self.known.update(zip(new, self.function(new)))
-        values = self.known
-        for words in batch:
-            yield [values[w] for w in words]
+        values.update(zip(new, self.function(new)))
+        for words, places, known in zip(batch, gaps, found):
+            for i in places:
+                known[i] = values[words[i]]
+        yield from found
         for word in new:
             if len(word) > LONGEST:
                 del values[word]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from devicepulse.llm import mixing, packing, queries, sharding
+from devicepulse.llm import mixing, packing, perword, queries, sharding
 from devicepulse.llm.wordpieces import WordIds
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -213,3 +214,24 @@ def test_plain_words_take_the_model_alone():
     other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     found = WordIds(other)(words)
     assert found == [np.array(e.ids, "<u4").tobytes() for e in other.encode_batch(words, add_special_tokens=False)]
+
+
+def test_remembered_words_are_looked_up_once():
+    """Known words cost one lookup: no table of a batch's distinct words is built."""
+    asked = []
+    words = perword.PerWord(lambda ws: asked.extend(ws) or [w.encode() for w in ws], 200_000)
+    many = [f"w{i}" for i in range(100_000)]
+    texts = [" ".join(many), "", "w1\nw2  " + "x" * 100]
+    expected = [[w.encode() for w in t.replace("\n", " ").split(" ")] for t in texts]
+    assert list(words.each(texts)) == expected
+    assert sorted(asked) == sorted({w.decode() for e in expected for w in e})
+    batch = [list(words.known)]
+    tracemalloc.start()
+    (again,) = words._several(batch)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert again == [w.encode() for w in batch[0]] and "x" * 100 not in words.known
+    assert peak < 30 * len(batch[0])
+    words.remembered = 10  # older words are found again
+    asked.clear()
+    assert list(words.each(texts)) == expected and asked == ["x" * 100]
