@@ -54,3 +54,21 @@ def test_fleet_scoring_scores_every_reading(spark, sf_dir):
     assert len({r.Reading_ID for r in rows}) == 1000
     assert all(0 <= r.probability <= 1 for r in rows)
     assert all((r.probability > 0.5) == bool(r.prediction) for r in rows)
+
+
+def test_training_reads_readings_that_are_derived_once(spark, sf_dir, monkeypatch, tmp_path):
+    """Training passes over its rows many times and does not derive them each time."""
+    given = []
+
+    def stop(train, test, **_):
+        given.extend([train, test])
+        raise InterruptedError
+
+    monkeypatch.setattr(queries.training, "train_candidates", stop)
+    monkeypatch.setattr(queries, "MAX_FIT_ROWS", 19)  # a folder without models
+    with pytest.raises(InterruptedError):
+        queries.trained(spark, sf_dir)
+    train, test = given
+    assert train.count() + test.count() == queries.readings(spark, sf_dir).count()
+    for side in given:
+        assert "event_id" not in side._jdf.queryExecution().optimizedPlan().toString()
