@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry_points
 import pytest
+from pyspark.ml.classification import LogisticRegression
 
 from devicepulse import schema as S
 from devicepulse.plans import queries
@@ -72,3 +73,23 @@ def test_training_reads_readings_that_are_derived_once(spark, sf_dir, monkeypatc
     assert train.count() + test.count() == queries.readings(spark, sf_dir).count()
     for side in given:
         assert "event_id" not in side._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_training_fits_on_every_row_that_is_not_held_out(spark, monkeypatch, tmp_path):
+    events = spark.range(30_000).selectExpr(
+        "id AS event_id", "id % 700 AS user_id", "timestamp_seconds(id) AS ts"
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+
+    class Counting(LogisticRegression):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.count())
+            return super().fit(dataset, params)
+
+    def few(n_train, preset="full", label=S.LABEL):
+        return {"Logistic Regression": Counting(labelCol=label, maxIter=5)}
+
+    monkeypatch.setattr(queries.training, "candidates", few)
+    test, _, _ = queries.trained(spark, str(tmp_path))
+    assert seen == [30_000 - test.count()] == [24_000]
